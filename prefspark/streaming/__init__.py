@@ -1,0 +1,6 @@
+"""Structured Streaming: intentionally empty.
+
+The workload being reproduced has no streams, watermarks, windows or
+stateful operators; its only incremental step is the judgment cache, which
+is a batch resume (``prefspark.operators.judge.resume_judging``).
+"""
