@@ -22,33 +22,40 @@ def extract_number(col, mode: str = "exact") -> Column:
     exact (default): drop every comma, keep the text after the last
     ``The answer is`` (all of it when absent), take the last match of the
     number pattern and strip dots at both ends; null when nothing matches.
-    normalized: same candidate, then compared-as-decimal friendly form
-    (sign kept, trailing zeros removed).
+    normalized: the sign is kept on integers too and the result is a
+    canonical decimal text (``18.0`` and ``18`` agree).
     """
+    if mode not in ("exact", "normalized"):
+        raise ValueError("mode must be 'exact' or 'normalized'")
     t = F.replace(_c(col), F.lit(","), F.lit(""))
     t = F.substring_index(t, K.ANSWER_MARKER, -1)
-    matches = F.regexp_extract_all(t, F.lit("(?U)" + K.NUMBER_PATTERN), 0)
+    pattern = K.NUMBER_PATTERN if mode == "exact" else _SIGNED_NUMBER
+    matches = F.regexp_extract_all(t, F.lit("(?U)" + pattern), 0)
     last = F.try_element_at(matches, F.lit(-1))
-    out = F.btrim(last, F.lit("."))
     if mode == "normalized":
         return _normalize_number(last)
-    if mode != "exact":
-        raise ValueError("mode must be 'exact' or 'normalized'")
-    return out
+    return F.btrim(last, F.lit("."))
 
 
 def extract_gold(col, mode: str = "exact") -> Column:
-    """Reference number after the first ``####``; null when absent."""
-    g = F.regexp_extract(_c(col), "(?U)" + K.GOLD_PATTERN, 1)
-    g = F.nullif(g, F.lit(""))
+    """Reference number after the first ``####``; null when absent.
+
+    normalized: commas are removed first and a sign is allowed on integers.
+    """
     if mode == "normalized":
-        return _normalize_number(g)
-    return g
+        g = F.regexp_extract(F.replace(_c(col), F.lit(","), F.lit("")),
+                             "(?U)####\\s*(" + _SIGNED_NUMBER + ")", 1)
+        return _normalize_number(F.nullif(g, F.lit("")))
+    g = F.regexp_extract(_c(col), "(?U)" + K.GOLD_PATTERN, 1)
+    return F.nullif(g, F.lit(""))
+
+
+_SIGNED_NUMBER = r"[-+]?(?:\d*\.\d+|\d+)"
 
 
 def _normalize_number(col) -> Column:
     """Decimal text with sign kept and no trailing zeros (for mode='normalized')."""
-    d = F.try_cast(col, "decimal(38,10)") if hasattr(F, "try_cast") else col.try_cast("decimal(38,10)")
+    d = col.try_cast("decimal(38,10)")
     return F.regexp_replace(F.regexp_replace(d.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
