@@ -90,7 +90,7 @@ def raw_winrate(judged: DataFrame) -> DataFrame:
 
 
 def lc_winrate(judged: DataFrame, reg_c: float = 1.0, max_iter: int = 1000,
-               tol: float = 1e-12) -> DataFrame:
+               tol: float = 1e-10) -> DataFrame:
     """Length-controlled win rate from an L2 logistic fit (C = ``reg_c``).
 
     Spark ML fits win ~ length_diff + length_diff^2 + log1p(model_len) +

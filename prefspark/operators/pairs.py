@@ -6,7 +6,7 @@ rank keys are unique, so the join shuffles evenly and never skews.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prefspark import constants as K
@@ -16,16 +16,49 @@ from prefspark.operators.rank import global_rank, rank_by_score
 _OUT = ["rank", "instruction", "input", "chosen", "rejected"]
 
 
-def _join_partner(ranked: DataFrame, partner) -> DataFrame:
-    left = ranked.select("rank", partner.alias("_partner"), "instruction", "input", "chosen")
-    right = ranked.select(F.col("rank").alias("_prank"), F.col("chosen").alias("rejected"))
-    j = left.join(right, F.col("_partner") == F.col("_prank"))
-    return j.select(
-        F.col("rank"),
-        clean_text("instruction").alias("instruction"),
-        clean_text(F.coalesce("input", F.lit(""))).alias("input"),
-        clean_text("chosen").alias("chosen"),
-        clean_text("rejected").alias("rejected"))
+def _pair_up(ranked: DataFrame, plans: list[tuple[str | None, Column]], rank_col: str = "rank",
+             keep_id: str | None = None, clean: bool = True) -> DataFrame:
+    """Pairs from one pass over the ranked rows and one shuffle.
+
+    For each (strategy, giver) plan every row emits a winner record for its
+    own pair (pair = its rank) and a loser record for the pair that takes its
+    text as rejected (pair = ``giver``). Grouping by (strategy, pair) meets
+    exactly one of each; the ranked rows are read once whatever the number of
+    strategies, instead of once per side of a self-join.
+    """
+    recs = []
+    for strategy, giver in plans:
+        tag = F.lit(strategy or "")
+        win = F.struct(tag.alias("s"), F.col(rank_col).alias("p"), F.lit(True).alias("w"),
+                       F.col("instruction").alias("i"), F.col("input").alias("n"),
+                       F.col("chosen").alias("c"),
+                       (F.col(keep_id) if keep_id else F.lit(None).cast("long")).alias("k"))
+        lose = F.struct(tag.alias("s"), giver.alias("p"), F.lit(False).alias("w"),
+                        F.lit(None).cast("string").alias("i"), F.lit(None).cast("string").alias("n"),
+                        F.col("chosen").alias("c"), F.lit(None).cast("long").alias("k"))
+        recs += [win, lose]
+    x = ranked.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    g = x.groupBy("s", "p").agg(
+        F.first(F.when(F.col("w"), F.struct("i", "n", "c", "k")), ignorenulls=True).alias("win"),
+        F.first(F.when(~F.col("w"), F.col("c")), ignorenulls=True).alias("rej"))
+    tidy = clean_text if clean else (lambda c: F.col(c) if isinstance(c, str) else c)
+    return g.select(
+        F.col("s").alias("strategy"), F.col("p").alias("rank"),
+        F.col("win.k").alias("_id"),
+        tidy("win.i").alias("instruction"),
+        tidy(F.coalesce("win.n", F.lit(""))).alias("input"),
+        tidy("win.c").alias("chosen"),
+        tidy("rej").alias("rejected"))
+
+
+def _mirror_giver() -> Column:
+    # Row r's text is rejected for pair p with n-1-p = r.
+    return F.col("_n") - 1 - F.col("rank")
+
+
+def _next_giver() -> Column:
+    # Row r's text is rejected for pair p with (p+1) mod n = r.
+    return F.pmod(F.col("rank") - 1, F.col("_n"))
 
 
 def _ranked(scored: DataFrame, score_col: str, id_col: str) -> DataFrame:
@@ -40,39 +73,34 @@ def symmetric_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col:
     chosen, an odd middle row pairs with itself); keep="upper_half" keeps
     only i < n-1-i.
     """
+    if keep not in ("all", "upper_half"):
+        raise ValueError("keep must be 'all' or 'upper_half'")
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    out = _join_partner(r, F.col("_n") - 1 - F.col("rank"))
+    out = _pair_up(r, [(None, _mirror_giver())])
     if keep == "upper_half":
-        out = out.join(r.select("rank", "_n"), "rank").filter(
-            F.col("rank") < F.col("_n") - 1 - F.col("rank")).select(*_OUT)
-    elif keep != "all":
-        raise ValueError("keep must be 'all' or 'upper_half'")
-    return out
+        # pair i is kept when i < n-1-i, i.e. 2i + 1 < n
+        n = r.agg(F.max("_n").alias("_nn"))
+        out = out.crossJoin(F.broadcast(n)).filter(2 * F.col("rank") + 1 < F.col("_nn"))
+    return out.select(*_OUT)
 
 
 def next_neighbor_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col: str = "id",
                         ranked: DataFrame | None = None) -> DataFrame:
     """D3: rank i against rank (i+1) mod n (the last row wraps to the best)."""
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    return _join_partner(r, F.pmod(F.col("rank") + 1, F.col("_n")))
+    return _pair_up(r, [(None, _next_giver())]).select(*_OUT)
 
 
 def pairs(scored: DataFrame, strategy: str = "both", score_col: str = "score_datainf",
           id_col: str = "id", ranked: DataFrame | None = None) -> DataFrame:
-    """One table with a ``strategy`` column; the rank is computed once."""
-    if strategy not in ("symmetric", "next_neighbor", "both"):
+    """One table with a ``strategy`` column; rank once, shuffle once for all strategies."""
+    plans = {"symmetric": [("symmetric", _mirror_giver())],
+             "next_neighbor": [("next_neighbor", _next_giver())]}
+    plans["both"] = plans["symmetric"] + plans["next_neighbor"]
+    if strategy not in plans:
         raise ValueError("strategy must be symmetric, next_neighbor or both")
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    parts = []
-    if strategy in ("symmetric", "both"):
-        parts.append(symmetric_pairs(scored, ranked=r).withColumn("strategy", F.lit("symmetric")))
-    if strategy in ("next_neighbor", "both"):
-        parts.append(next_neighbor_pairs(scored, ranked=r)
-                     .withColumn("strategy", F.lit("next_neighbor")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("strategy", *_OUT)
+    return _pair_up(r, plans[strategy]).select("strategy", *_OUT)
 
 
 def self_pair_order_keys(text_col: str = "chosen", seed: int = K.SELF_PAIR_SEED):
@@ -103,10 +131,8 @@ def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str
         F.lit("self_pairs_random: a text fills more than half of the rows (m="),
         F.col("_m").cast("string"), F.lit(", n="), F.col("_n").cast("string"), F.lit(")")))
     ).otherwise(F.col("_m"))
-    x = x.withColumn("_partner", F.pmod(F.col("_r") + shift, F.col("_n")))
-    left = x.select(id_col, "_r", "_partner", "instruction", "input", text_col)
-    right = x.select(F.col("_r").alias("_pr"), F.col(text_col).alias("rejected"))
-    j = left.join(right, F.col("_partner") == F.col("_pr"))
-    return j.select(
-        F.col(id_col), F.col("instruction"), F.coalesce("input", F.lit("")).alias("input"),
-        F.col(text_col).alias("chosen"), F.col("rejected"))
+    # Row r's text is rejected for pair p with (p + m) mod n = r.
+    x = x.select(F.col("_r").alias("rank"), F.pmod(F.col("_r") - shift, F.col("_n")).alias("_giver"),
+                 F.col(id_col).alias("_id"), "instruction", "input", F.col(text_col).alias("chosen"))
+    out = _pair_up(x, [(None, F.col("_giver"))], keep_id="_id", clean=False)
+    return out.select(F.col("_id").alias(id_col), "instruction", "input", "chosen", "rejected")

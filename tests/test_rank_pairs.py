@@ -53,7 +53,7 @@ def test_rank_plan_has_no_single_partition_exchange_on_rows(spark):
     plan = rank_by_score(df, buckets=4)._jdf.queryExecution().executedPlan().toString()
     # The only SinglePartition exchange allowed is the one over per-segment counts.
     assert plan.count("SinglePartition") <= 1
-    assert "rangepartitioning(_rk_segno" in plan
+    assert "hashpartitioning(_rk_segno" in plan
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 6])
@@ -101,3 +101,8 @@ def test_self_pairs_five_of_ten_equal_works(spark):
 def test_self_pairs_impossible_raises(spark, texts):
     with pytest.raises(Exception, match="more than half"):
         self_pairs_random(_docs(spark, texts)).collect()
+
+
+def test_symmetric_upper_half(spark):
+    out = symmetric_pairs(_scored(spark, [5.0, 4.0, 3.0, 2.0, 1.0]), keep="upper_half").collect()
+    assert sorted((r["chosen"], r["rejected"]) for r in out) == [("t0", "t4"), ("t1", "t3")]
