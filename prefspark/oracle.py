@@ -430,6 +430,7 @@ SELECT count(*) AS total,
 FROM fx_judge""",
     "resume_judging": _with(FX_JUDGE) + "SELECT * FROM fx_judged",
     # 2.6
-    "map_responses": _with(FX_DOC) + f"SELECT id, {strip('substring(chosen, 1, 100)')} AS response FROM fx_doc",
+    "map_responses": _with(FX_DOC) + f"""
+SELECT id, {strip("length(chosen) || ' ' || replace(chosen, chr(10), ' ')")} AS response FROM fx_doc""",
     "map_verdicts": _STUB_PROMPTS,
 }

@@ -346,13 +346,14 @@ def q_resume_judging(spark, sf):
 
 # --- 2.6 hooks -----------------------------------------------------------------
 
-def _head100(batch):
-    return [t[:100] if t is not None else None for t in batch]
+def _stub_responder(batch):
+    """A deterministic stand-in generator over whole texts: "<length> <text on one line>"."""
+    return [None if t is None else f"{len(t)} " + t.replace("\n", " ") for t in batch]
 
 
 def q_map_responses(spark, sf):
     d = FX.fx_doc(spark, sf).select("id", "chosen")
-    return hooks.map_responses(d, _head100, text_col="chosen", out_col="response",
+    return hooks.map_responses(d, _stub_responder, text_col="chosen", out_col="response",
                                batch_size=64).select("id", "response")
 
 
