@@ -372,6 +372,12 @@ SELECT id, row_number() OVER (ORDER BY score_datainf DESC NULLS LAST, id) - 1 AS
     "symmetric_pairs": _with(FX_SCORED, _PAIR_RANKED.format(src="fx_scored")) + _pair_select(_SYM),
     "next_neighbor_pairs": _with(FX_SCORED, _PAIR_RANKED.format(src="fx_scored")) + _pair_select(_NEXT),
     "self_pairs_random": _d4(),
+    "influence_pairs": _with(FX_GRAD, FX_DOC) + """
+, fx_flow AS (
+  SELECT d.id, d.instruction, d.input, d.chosen, s.score AS score_datainf
+  FROM fx_doc d JOIN fx_scores_raw s USING (id)),
+""" + _PAIR_RANKED.format(src="fx_flow") + "\n"
+    + _pair_select(_SYM, "symmetric") + "\nUNION ALL\n" + _pair_select(_NEXT, "next_neighbor"),
     "pairs": _with(FX_SCORED, _PAIR_RANKED.format(src="fx_scored_ties"))
     + _pair_select(_SYM, "symmetric") + "\nUNION ALL\n" + _pair_select(_NEXT, "next_neighbor"),
     # 2.5

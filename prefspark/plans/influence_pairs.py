@@ -1,9 +1,11 @@
 """Flow A: gradients -> influence scores -> global rank -> preference pairs.
 
 One scan of the validation gradients (mean vector), one of the training
-gradients (damping and scores share it), the score table is cut from its
-lineage before ranking (float sums must not be recomputed between the rank's
-counting and windowing passes), then the rank and the pair self-joins.
+gradients (damping and scores share it). Only the narrow (id, score) table
+is ranked: it is written once (float sums must not be recomputed between the
+rank's counting and numbering passes) and the rank's extra passes read just
+those columns. Texts join the ranked ids once, then one shuffle builds every
+pair strategy.
 """
 
 from __future__ import annotations
@@ -17,33 +19,36 @@ from prefspark.operators.rank import rank_by_score
 from prefspark.session import materialize
 
 
-def scored_records(train: DataFrame, val: DataFrame, docs: DataFrame,
-                   id_col: str = "id") -> DataFrame:
-    """Score rows (I3 + I5 shape) joined to the text they belong to."""
+def ranked_scores(records: DataFrame, train: DataFrame, val: DataFrame,
+                  id_col: str = "id") -> DataFrame:
+    """(id, score_datainf, rank, _n) for every record; a record without a score gets 0.0."""
     s = influence.influence_scores(train, val, id_col=id_col)
-    return s.join(docs, id_col).select(
-        F.col(id_col), "instruction", F.lit("").alias("input"), "chosen",
-        F.col("chosen").alias("rejected"), F.col("score").alias("score_datainf"))
+    narrow = records.select(id_col).join(s, id_col, "left").select(
+        F.col(id_col), F.coalesce(F.col("score"), F.lit(0.0)).alias("score_datainf"))
+    narrow = materialize(narrow, "scores")
+    return materialize(rank_by_score(narrow, id_col=id_col, total_col="_n"), "ranked")
 
 
-def influence_pairs(train: DataFrame, val: DataFrame, docs: DataFrame, strategy: str = "both",
-                    cut_lineage: bool = True) -> DataFrame:
-    """Pairs table (strategy, rank, instruction, input, chosen, rejected)."""
-    scored = scored_records(train, val, docs)
-    if cut_lineage:
-        scored = materialize(scored)
-    ranked = rank_by_score(scored, total_col="_n")
-    if cut_lineage:
-        ranked = materialize(ranked)
-    return pairs.pairs(scored, strategy, ranked=ranked)
+def influence_pairs(records: DataFrame, train: DataFrame, val: DataFrame,
+                    strategy: str = "both", id_col: str = "id") -> DataFrame:
+    """Pairs table (strategy, rank, instruction, input, chosen, rejected).
+
+    ``records``: id, instruction, chosen (and optionally input).
+    """
+    ranked = ranked_scores(records, train, val, id_col)
+    payload = records.select(id_col, "instruction", "chosen",
+                             (F.col("input") if "input" in records.columns else F.lit("")).alias("input"))
+    wide = ranked.join(payload, id_col)
+    return pairs.pairs(None, strategy, ranked=wide)
 
 
 def influence_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship query over the given tables (embeddings as gradients, documents as texts)."""
+    """The flagship query over the given tables (embeddings as gradients, documents as texts).
+
+    Records are the documents that have a gradient row (train split).
+    """
     g = FX.fx_grad(spark, sf_dir)
-    docs = FX.fx_doc(spark, sf_dir).select("id", "instruction", "chosen")
     train = g.filter(F.col("split") == "train")
     val = g.filter(F.col("split") == "val")
-    scored = scored_records(train, val, docs).withColumn(
-        "score_datainf", F.round("score_datainf", 9))
-    return pairs.symmetric_pairs(scored)
+    docs = FX.fx_doc(spark, sf_dir).join(train.select("id"), "id", "left_semi")
+    return influence_pairs(docs, train, val, "both")

@@ -270,6 +270,11 @@ def q_self_pairs_random(spark, sf):
     return pairs.self_pairs_random(FX.fx_doc(spark, sf), seed=42)
 
 
+def q_influence_pairs(spark, sf):
+    from prefspark.plans.influence_pairs import influence_pairs_query
+    return influence_pairs_query(spark, sf)
+
+
 def q_pairs(spark, sf):
     return pairs.pairs(FX.fx_scored(spark, sf, ties=True), "both")
 

@@ -106,3 +106,18 @@ def test_self_pairs_impossible_raises(spark, texts):
 def test_symmetric_upper_half(spark):
     out = symmetric_pairs(_scored(spark, [5.0, 4.0, 3.0, 2.0, 1.0]), keep="upper_half").collect()
     assert sorted((r["chosen"], r["rejected"]) for r in out) == [("t0", "t4"), ("t1", "t3")]
+
+
+def test_materialized_flow_equals_lazy_pairs(spark):
+    from prefspark import fixtures as FX
+    from prefspark.operators import influence, pairs
+    from prefspark.plans.influence_pairs import influence_pairs_query
+    from conftest import SF001
+    flow = {tuple(r) for r in influence_pairs_query(spark, SF001).collect()}
+    g = FX.fx_grad(spark, SF001)
+    train = g.filter(F.col("split") == "train")
+    s = influence.influence_scores(train, g.filter(F.col("split") == "val"))
+    docs = FX.fx_doc(spark, SF001)
+    scored = docs.join(s, "id").withColumnRenamed("score", "score_datainf")
+    lazy = {tuple(r) for r in pairs.pairs(scored, "both").collect()}
+    assert flow == lazy and len(flow) > 0
