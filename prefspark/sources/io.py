@@ -141,3 +141,26 @@ def write_metrics(metrics: DataFrame, results: DataFrame, path: str,
     base = path.rstrip("/")
     metrics.write.mode(mode).parquet(f"{base}/metrics")
     results.write.mode(mode).parquet(f"{base}/results")
+
+
+REGISTRY_SCHEMA = "key string, file_name string, ranking boolean, columns map<string,string>"
+# The column mapping every registered preference dataset uses.
+DPO_COLUMNS = {"prompt": "instruction", "query": "input", "chosen": "chosen", "rejected": "rejected"}
+
+
+def read_registry(spark: SparkSession, path: str | None) -> DataFrame:
+    """S6 input: the dataset registry table; a missing table, or malformed lines, read as empty."""
+    empty = spark.createDataFrame([], REGISTRY_SCHEMA)
+    if not path:
+        return empty
+    try:
+        return (spark.read.schema(REGISTRY_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+                .filter(F.col("key").isNotNull()))
+    except AnalysisException:
+        return empty
+
+
+def registry_entries(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
+    """New registry rows: key -> file name, ranking on, the fixed DPO column mapping."""
+    rows = [(k, f, True, dict(DPO_COLUMNS)) for k, f in entries.items()]
+    return spark.createDataFrame(rows, REGISTRY_SCHEMA)

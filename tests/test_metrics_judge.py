@@ -152,3 +152,15 @@ def test_map_verdicts_retries_then_null(spark):
         return " 2 "
     got = {r["idx"]: r["verdict_raw"] for r in hooks.map_verdicts(df, fn).collect()}
     assert got == {1: "2", 2: "2", 3: None}
+
+
+def test_registry_upsert(spark, tmp_dir):
+    from prefspark.operators.upsert import upsert_by_key
+    assert io.read_registry(spark, f"{tmp_dir}/missing").count() == 0
+    with open(f"{tmp_dir}/bad.json", "w") as f:
+        f.write("{not json\n")
+    assert io.read_registry(spark, f"{tmp_dir}/bad.json").count() == 0
+    old = io.registry_entries(spark, {"a": "a.json", "b": "b.json"})
+    new = io.registry_entries(spark, {"b": "b2.json", "c": "c.json"})
+    got = {r["key"]: r["file_name"] for r in upsert_by_key(old, new, "key").collect()}
+    assert got == {"a": "a.json", "b": "b2.json", "c": "c.json"}
