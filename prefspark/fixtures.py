@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.functions.extract import parse_verdict
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -229,4 +227,4 @@ def fx_judge_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.filter((F.col("idx") % 3 == 0) & F.col("winner").isNotNull())
 
 
-__all__ = [n for n in dir() if n.startswith("fx_")] + ["table", "parse_verdict"]
+__all__ = [n for n in dir() if n.startswith("fx_")] + ["table"]

@@ -73,7 +73,8 @@ def global_rank(df: DataFrame, keys: list, id_col: str = "id", rank_col: str = "
     ``total_col`` optionally receives n on every row.
     """
     n_b = int(buckets or _default_buckets(df))
-    acc = int(accuracy or max(10000, 50 * n_b))
+    # Relative error 1/(4B) keeps every range within 0.5x-1.5x of its target size.
+    acc = int(accuracy or max(10000, 4 * n_b))
     key_cols = [_col(k) for k in keys] + [F.col(id_col)]
     work = df
     dnames = []
