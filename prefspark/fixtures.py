@@ -143,10 +143,10 @@ def fx_judge(spark: SparkSession, sf_dir: str) -> DataFrame:
     idx % 29 = 0): a self equi-join on the shifted id.
     """
     d = table(spark, sf_dir, "documents")
-    n = d.agg(F.count(F.lit(1)).alias("n"))
-    a = d.crossJoin(F.broadcast(n)).select(
+    n = d.agg(F.count(F.lit(1)).alias("n")).scalar()
+    a = d.select(
         F.col("doc_id").alias("idx"), F.col("text").alias("model_output"), "n_chars",
-        F.pmod(F.col("doc_id") + 1, F.col("n")).alias("_ref_id"))
+        F.pmod(F.col("doc_id") + 1, n).alias("_ref_id"))
     b = d.select(F.col("doc_id").alias("_rid"), F.col("text").alias("_rtext"))
     j = a.join(b, F.col("_ref_id") == F.col("_rid"), "left")
     idx = F.col("idx")

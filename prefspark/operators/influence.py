@@ -55,11 +55,11 @@ def influence_scores(train: DataFrame, val: DataFrame, id_col: str = "id", grad_
                      divisor: float = K.DAMPING_DIVISOR) -> DataFrame:
     """(id, score). Rows without a gradient score 0.0; lambda = 0 gives null."""
     v = mean_vector_row(val, grad_col)
-    lam = damping(train, grad_col, divisor)
-    # Both sides are one-row aggregates: a broadcast nested-loop join of 1 x 1 rows.
-    x = train.select(id_col, grad_col).crossJoin(F.broadcast(v)).crossJoin(F.broadcast(lam))
+    lam = damping(train, grad_col, divisor).scalar()  # scalar subquery, evaluated once
+    # v is one row of dimension size: broadcast once per executor (not per task).
+    x = train.select(id_col, grad_col).crossJoin(F.broadcast(v))
     g = F.col(grad_col)
-    score = F.try_divide(dot(g, F.col("v")), F.col("lam") + sq_norm(g))
+    score = F.try_divide(dot(g, F.col("v")), lam + sq_norm(g))
     return x.select(F.col(id_col), F.when(g.isNull(), F.lit(0.0)).otherwise(score).alias("score"))
 
 
@@ -87,10 +87,9 @@ def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: s
                          sq_norm(vals_col).alias("gg")))
     per_id = per_block.groupBy(id_col).agg(F.sum("gv").alias("gv"), F.sum("gg").alias("gg"))
     lam = per_id.filter(F.col("gg").isNotNull()).agg(
-        (F.avg("gg") / F.lit(float(divisor))).alias("lam"))
-    x = per_id.crossJoin(F.broadcast(lam))
-    score = F.try_divide(F.col("gv"), F.col("lam") + F.col("gg"))
-    return x.select(F.col(id_col),
+        (F.avg("gg") / F.lit(float(divisor))).alias("lam")).scalar()
+    score = F.try_divide(F.col("gv"), lam + F.col("gg"))
+    return per_id.select(F.col(id_col),
                     F.when(F.col("gg").isNull(), F.lit(0.0)).otherwise(score).alias("score"))
 
 

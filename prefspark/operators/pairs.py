@@ -79,8 +79,8 @@ def symmetric_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col:
     out = _pair_up(r, [(None, _mirror_giver())])
     if keep == "upper_half":
         # pair i is kept when i < n-1-i, i.e. 2i + 1 < n
-        n = r.agg(F.max("_n").alias("_nn"))
-        out = out.crossJoin(F.broadcast(n)).filter(2 * F.col("rank") + 1 < F.col("_nn"))
+        n = r.agg(F.max("_n").alias("_nn")).scalar()
+        out = out.filter(2 * F.col("rank") + 1 < n)
     return out.select(*_OUT)
 
 
@@ -125,8 +125,8 @@ def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str
     ranked = global_rank(base, [k1, k2], id_col=id_col, rank_col="_r", total_col="_n")
     # Largest multiplicity of one text: a partial aggregate on the 32-char hash.
     mult = (base.groupBy("_h").agg(F.count(F.lit(1)).alias("c"))
-            .agg(F.max("c").alias("_m")))
-    x = ranked.crossJoin(F.broadcast(mult))
+            .agg(F.max("c").alias("_m"))).scalar()  # scalar subquery, evaluated once
+    x = ranked.withColumn("_m", mult)
     shift = F.when(F.col("_m") * 2 > F.col("_n"), F.raise_error(F.concat(
         F.lit("self_pairs_random: a text fills more than half of the rows (m="),
         F.col("_m").cast("string"), F.lit(", n="), F.col("_n").cast("string"), F.lit(")")))
