@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prefspark import constants as K
 from prefspark.functions.text import clean_text
 from prefspark.operators.rank import global_rank, rank_by_score
+from prefspark.session import materialize
 
 _OUT = ["rank", "instruction", "input", "chosen", "rejected"]
 
@@ -104,35 +105,49 @@ def pairs(scored: DataFrame, strategy: str = "both", score_col: str = "score_dat
 
 
 def self_pair_order_keys(text_col: str = "chosen", seed: int = K.SELF_PAIR_SEED):
-    """The seeded order of D4: md5 of "seed:text", first 26 hex digits, as two exact doubles."""
+    """The seeded order of D4: md5 of "seed:text", first 26 hex digits, as two exact longs."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(text_col), F.lit(""))))
-    k1 = F.conv(F.substring(h, 1, 13), 16, 10).cast("long")
-    k2 = F.conv(F.substring(h, 14, 13), 16, 10).cast("long")
-    return h, k1, k2
+    return h, _hash_keys(h)
+
+
+def _hash_keys(h: Column) -> list[Column]:
+    return [F.conv(F.substring(h, 1, 13), 16, 10).cast("long"),
+            F.conv(F.substring(h, 14, 13), 16, 10).cast("long")]
 
 
 def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str = "chosen",
-                      id_col: str = "id") -> DataFrame:
+                      id_col: str = "id", materialize_keys: bool = True) -> DataFrame:
     """rejected = another row's chosen text, each used once, never the row's own text.
 
     Rows are ordered by (md5("seed:text"), id), so equal texts sit next to
     each other, and row r takes the text of row (r + m) mod n where m is the
     largest multiplicity of one text. When 2m <= n no row can meet its own
     text; when 2m > n no such assignment exists and the query raises.
+
+    Texts are hashed once into a narrow (id, hash) table (written to the
+    checkpoint folder unless ``materialize_keys`` is False); the rank and the
+    multiplicity read only that table, and the texts join the ranked ids once.
     """
-    h, k1, k2 = self_pair_order_keys(text_col, seed)
-    base = df.withColumn("_h", h)
-    ranked = global_rank(base, [k1, k2], id_col=id_col, rank_col="_r", total_col="_n")
+    h, _ = self_pair_order_keys(text_col, seed)
+    keys = df.select(F.col(id_col).alias("_id"), h.alias("_h"))
+    if materialize_keys:
+        keys = materialize(keys, "self-pair-keys")
+    ranked = global_rank(keys, _hash_keys(F.col("_h")), id_col="_id", rank_col="_r",
+                         total_col="_n")
     # Largest multiplicity of one text: a partial aggregate on the 32-char hash.
-    mult = (base.groupBy("_h").agg(F.count(F.lit(1)).alias("c"))
-            .agg(F.max("c").alias("_m"))).scalar()  # scalar subquery, evaluated once
-    x = ranked.withColumn("_m", mult)
+    m = (keys.groupBy("_h").agg(F.count(F.lit(1)).alias("c"))
+         .agg(F.max("c").alias("_m"))).scalar()  # scalar subquery, evaluated once
+    x = ranked.withColumn("_m", m)
     shift = F.when(F.col("_m") * 2 > F.col("_n"), F.raise_error(F.concat(
         F.lit("self_pairs_random: a text fills more than half of the rows (m="),
         F.col("_m").cast("string"), F.lit(", n="), F.col("_n").cast("string"), F.lit(")")))
     ).otherwise(F.col("_m"))
     # Row r's text is rejected for pair p with (p + m) mod n = r.
-    x = x.select(F.col("_r").alias("rank"), F.pmod(F.col("_r") - shift, F.col("_n")).alias("_giver"),
-                 F.col(id_col).alias("_id"), "instruction", "input", F.col(text_col).alias("chosen"))
-    out = _pair_up(x, [(None, F.col("_giver"))], keep_id="_id", clean=False)
+    order = x.select("_id", F.col("_r").alias("rank"),
+                     F.pmod(F.col("_r") - shift, F.col("_n")).alias("_giver"))
+    payload = df.select(F.col(id_col).alias("_id"), "instruction",
+                        F.coalesce("input", F.lit("")).alias("input"),
+                        F.col(text_col).alias("chosen"))
+    wide = order.join(payload, "_id")
+    out = _pair_up(wide, [(None, F.col("_giver"))], keep_id="_id", clean=False)
     return out.select(F.col("_id").alias(id_col), "instruction", "input", "chosen", "rejected")
