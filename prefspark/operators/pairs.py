@@ -62,8 +62,23 @@ def _next_giver() -> Column:
     return F.pmod(F.col("rank") - 1, F.col("_n"))
 
 
-def _ranked(scored: DataFrame, score_col: str, id_col: str) -> DataFrame:
-    return rank_by_score(scored, score_col=score_col, id_col=id_col, total_col="_n")
+def _ranked(scored: DataFrame, score_col: str, id_col: str,
+            materialize_keys: bool = True) -> DataFrame:
+    """Ranked rows with their payload.
+
+    Only the narrow (id, score) table is ranked; with ``materialize_keys`` it
+    is written once to the checkpoint folder, so the rank's counting passes
+    read two columns and a score computed upstream is never re-evaluated
+    between them. The payload joins the ranked ids once.
+    """
+    keys = scored.select(F.col(id_col).alias("_id"), F.col(score_col).alias("_s"))
+    if materialize_keys:
+        keys = materialize(keys, "rank-keys")
+    ranked = rank_by_score(keys, score_col="_s", id_col="_id", total_col="_n")
+    payload = scored.select(F.col(id_col).alias("_id"), "instruction",
+                            (F.col("input") if "input" in scored.columns else F.lit("")).alias("input"),
+                            "chosen")
+    return ranked.select("_id", "rank", "_n").join(payload, "_id")
 
 
 def symmetric_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col: str = "id",

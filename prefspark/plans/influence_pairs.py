@@ -2,10 +2,10 @@
 
 One scan of the validation gradients (mean vector), one of the training
 gradients (damping and scores share it). Only the narrow (id, score) table
-is ranked: it is written once (float sums must not be recomputed between the
-rank's counting and numbering passes) and the rank's extra passes read just
-those columns. Texts join the ranked ids once, then one shuffle builds every
-pair strategy.
+is ranked: ``pairs`` writes it once (float sums must not be recomputed
+between the rank's counting and numbering passes) and the rank's extra
+passes read just those columns. Texts join the ranked ids once, then one
+shuffle builds every pair strategy.
 """
 
 from __future__ import annotations
@@ -15,18 +15,6 @@ from pyspark.sql import functions as F
 
 from prefspark import fixtures as FX
 from prefspark.operators import influence, pairs
-from prefspark.operators.rank import rank_by_score
-from prefspark.session import materialize
-
-
-def ranked_scores(records: DataFrame, train: DataFrame, val: DataFrame,
-                  id_col: str = "id") -> DataFrame:
-    """(id, score_datainf, rank, _n) for every record; a record without a score gets 0.0."""
-    s = influence.influence_scores(train, val, id_col=id_col)
-    narrow = records.select(id_col).join(s, id_col, "left").select(
-        F.col(id_col), F.coalesce(F.col("score"), F.lit(0.0)).alias("score_datainf"))
-    narrow = materialize(narrow, "scores")
-    return materialize(rank_by_score(narrow, id_col=id_col, total_col="_n"), "ranked")
 
 
 def influence_pairs(records: DataFrame, train: DataFrame, val: DataFrame,
@@ -35,11 +23,10 @@ def influence_pairs(records: DataFrame, train: DataFrame, val: DataFrame,
 
     ``records``: id, instruction, chosen (and optionally input).
     """
-    ranked = ranked_scores(records, train, val, id_col)
-    payload = records.select(id_col, "instruction", "chosen",
-                             (F.col("input") if "input" in records.columns else F.lit("")).alias("input"))
-    wide = ranked.join(payload, id_col)
-    return pairs.pairs(None, strategy, ranked=wide)
+    s = influence.influence_scores(train, val, id_col=id_col)
+    scored = records.join(s, id_col, "left").withColumn(
+        "score_datainf", F.coalesce(F.col("score"), F.lit(0.0)))
+    return pairs.pairs(scored, strategy, id_col=id_col)
 
 
 def influence_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
