@@ -7,6 +7,7 @@ any state (a model, a client) is built once per partition by a factory.
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -71,12 +72,14 @@ def map_verdicts(df: DataFrame, fn: Callable[[str], str] | None = None,
                  prompt_col: str = "judge_prompt", out_col: str = "verdict_raw",
                  max_attempts: int = K.JUDGE_MAX_ATTEMPTS,
                  backoff: Callable[[int], float] = lambda attempt: 0.0,
-                 make_fn: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+                 make_fn: Callable[[], Callable[[str], str]] | None = None,
+                 concurrency: int = 1) -> DataFrame:
     """One call per row with retries; a row that still fails gets a null verdict.
 
     ``backoff(attempt)`` is the wait in seconds after a failed attempt
     (``lambda a: 2 ** a`` for exponential backoff; 0 by default). The
-    answer is stripped.
+    answer is stripped. ``concurrency`` > 1 keeps that many calls in flight
+    per task (for a network-bound judge); results stay in row order.
     """
     if (fn is None) == (make_fn is None):
         raise ValueError("pass exactly one of fn or make_fn")
@@ -96,8 +99,17 @@ def map_verdicts(df: DataFrame, fn: Callable[[str], str] | None = None,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = make_fn() if make_fn is not None else fn
-        for pdf in batches:
-            pdf[out_col] = [call(f, p) for p in pdf[prompt_col].tolist()]
-            yield pdf[names]
+        pool = ThreadPoolExecutor(concurrency) if concurrency > 1 else None
+        try:
+            for pdf in batches:
+                prompts = pdf[prompt_col].tolist()
+                if pool is None:
+                    pdf[out_col] = [call(f, p) for p in prompts]
+                else:
+                    pdf[out_col] = list(pool.map(lambda p: call(f, p), prompts))
+                yield pdf[names]
+        finally:
+            if pool is not None:
+                pool.shutdown()
 
     return df.mapInPandas(run, schema)

@@ -69,7 +69,9 @@ def subject_macro_average(acc: DataFrame, subjects=K.MMLU_SUBJECTS) -> DataFrame
 def subject_missing(acc: DataFrame, subjects=K.MMLU_SUBJECTS) -> DataFrame:
     """Per label, the canonical subjects with no value (absent or null)."""
     subj = _subjects_df(acc.sparkSession, subjects)
-    names = [r for r in subjects] if not isinstance(subjects, DataFrame) else None
+    # The canonical list is bounded (a benchmark's subject names), so it is a literal array.
+    names = ([r["task"] for r in subjects.orderBy("pos").collect()]
+             if isinstance(subjects, DataFrame) else list(subjects))
     present = (acc.filter(F.col("acc").isNotNull())
                .join(F.broadcast(subj.select("task")), "task", "left_semi")
                .groupBy("label").agg(F.collect_set("task").alias("have")))

@@ -164,3 +164,18 @@ def test_registry_upsert(spark, tmp_dir):
     new = io.registry_entries(spark, {"b": "b2.json", "c": "c.json"})
     got = {r["key"]: r["file_name"] for r in upsert_by_key(old, new, "key").collect()}
     assert got == {"a": "a.json", "b": "b2.json", "c": "c.json"}
+
+
+def test_map_verdicts_concurrent_keeps_order(spark):
+    df = spark.range(50).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("judge_prompt"))
+    got = {r["idx"]: r["verdict_raw"] for r in hooks.map_verdicts(
+        df, lambda p: "1" if int(p) % 2 else "2", concurrency=4).collect()}
+    assert got == {i: ("1" if i % 2 else "2") for i in range(50)}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_read_preferences_round_trip(spark, tmp_dir, fmt):
+    pref = FX.fx_pref(spark, SF01)
+    pref.write.format(fmt).save(f"{tmp_dir}/p")
+    back = io.read_preferences(spark, f"{tmp_dir}/p", fmt)
+    assert sorted(map(str, back.collect())) == sorted(map(str, pref.collect()))
