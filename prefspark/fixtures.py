@@ -31,7 +31,7 @@ def fx_msg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id k: chosen = conversation 2k, rejected = conversation 2k+1, prompt = first user text of 2k."""
     conv = table(spark, sf_dir, "conversations")
-    g = (conv.groupBy(F.floor(F.col("conv_id") / 2).cast("long").alias("id"))
+    g = (conv.groupBy(F.expr("conv_id div 2").alias("id"))
          .agg(F.array_sort(F.collect_list(
              F.struct((F.col("conv_id") % 2).alias("side"), "turn", "role", "text"))).alias("m")))
     chosen = _msg_list(F.filter("m", lambda x: x["side"] == 0))

@@ -146,6 +146,9 @@ def fit_penalised_logit(data: DataFrame, feats: list[str], reg_c: float = 1.0,
     f += 0.5 * w @ pen @ w
     for _ in range(max_iter):
         step = np.linalg.solve(h + pen, g + pen @ w)
+        if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(w))):
+            w = w - step  # converged: the last full step needs no further pass
+            break
         t = 1.0
         while True:
             w_new = w - t * step
