@@ -38,7 +38,22 @@ def _norm(v):
     return v
 
 
+_SPARK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def type_diffs(spark_df, rel) -> list[str]:
+    s_types = {f.name: _SPARK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString())
+               for f in spark_df.schema.fields}
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+    return [f"{c}: spark={s_types[c]} duck={d_types.get(c)}" for c in sorted(s_types)
+            if s_types[c] != d_types.get(c)]
+
+
 def compare(spark_df, con, sql):
+    td = type_diffs(spark_df, con.sql(sql))
+    if td:
+        return False, "types differ: " + "; ".join(td)
     cols = sorted(spark_df.columns)
     srows = [tuple(_norm(r[c]) for c in cols) for r in spark_df.collect()]
     rel = con.sql(sql)
