@@ -39,7 +39,9 @@ def _pair_up(ranked: DataFrame, plans: list[tuple[str | None, Column]], rank_col
                         F.col("chosen").alias("c"), F.lit(None).cast("long").alias("k"))
         recs += [win, lose]
     x = ranked.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
-    g = x.groupBy("s", "p").agg(
+    # Exchange first: a pair has two records, so a map-side partial aggregate
+    # (a full sort before the shuffle for string buffers) would combine nothing.
+    g = x.repartition("s", "p").groupBy("s", "p").agg(
         F.first(F.when(F.col("w"), F.struct("i", "n", "c", "k")), ignorenulls=True).alias("win"),
         F.first(F.when(~F.col("w"), F.col("c")), ignorenulls=True).alias("rej"))
     tidy = clean_text if clean else (lambda c: F.col(c) if isinstance(c, str) else c)
