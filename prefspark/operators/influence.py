@@ -19,27 +19,36 @@ from prefspark.functions.text import preview
 from prefspark.functions.vectors import dot, sq_norm
 
 
-def mean_vector(val: DataFrame, grad_col: str = "grad") -> DataFrame:
-    """I1, long form: (pos, value) element-wise mean over rows that have a gradient.
+def _vector_mean(df: DataFrame, grad_col: str, by: str | None = None) -> DataFrame:
+    """Element-wise mean of non-null arrays (optionally per ``by``) as ``v ARRAY<DOUBLE>``.
 
-    posexplode + groupBy(pos): partial aggregation keeps the shuffle at
-    dim x partitions, whatever the number of rows.
+    ``Summarizer`` adds each row into one dimension-sized buffer per task
+    (JVM-side) and merges the buffers: no row x dimension explosion, and the
+    shuffle is one buffer per task (and group).
     """
-    g = val.filter(F.col(grad_col).isNotNull())
-    return (g.select(F.posexplode(grad_col).alias("pos", "x"))
-            .groupBy("pos").agg(F.avg("x").alias("value"))
-            .select(F.col("pos").cast("long").alias("pos"), "value"))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    g = df.filter(F.col(grad_col).isNotNull()).withColumn("_vec", array_to_vector(grad_col))
+    agg = Summarizer.metrics("mean", "count").summary(F.col("_vec")).alias("_sm")
+    out = (g.groupBy(by) if by else g).agg(agg)
+    cols = [by] if by else []
+    return out.select(*cols, vector_to_array(F.col("_sm.mean")).alias("v"),
+                      F.col("_sm.count").alias("_n"))
+
+
+def mean_vector(val: DataFrame, grad_col: str = "grad") -> DataFrame:
+    """I1, long form: (pos, value) element-wise mean over rows that have a gradient."""
+    return mean_vector_row(val, grad_col).select(F.posexplode("v").alias("pos", "value")) \
+        .select(F.col("pos").cast("long").alias("pos"), "value")
 
 
 def mean_vector_row(val: DataFrame, grad_col: str = "grad") -> DataFrame:
     """I1 as one row ``v ARRAY<DOUBLE>`` (dimension-sized, not data-sized); errors on no rows."""
-    long_form = mean_vector(val, grad_col)
-    one = long_form.agg(
-        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("pv"),
-        F.count(F.lit(1)).alias("dim"))
-    return one.select(
-        F.when(F.col("dim") == 0, F.raise_error(F.lit("mean_vector: no gradients in validation set")))
-        .otherwise(F.transform("pv", lambda e: e["value"])).alias("v"))
+    # No gradient at all is an error; a limit(1) probe stops at the first row found.
+    if val.filter(F.col(grad_col).isNotNull()).limit(1).count() == 0:
+        raise ValueError("mean_vector: no gradients in validation set")
+    return _vector_mean(val, grad_col).select("v")
 
 
 def damping(train: DataFrame, grad_col: str = "grad", divisor: float = K.DAMPING_DIVISOR) -> DataFrame:
@@ -69,18 +78,15 @@ def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: s
     """I4: the I3 result for gradients stored as (id, split, block_id, vals) slices.
 
     g.v and |g|^2 add up over blocks, so no row ever holds the whole gradient.
-    The validation mean is computed per (block, pos); the join of training
+    The validation mean is computed per block (one vector buffer per task and
+    block); the join of training
     blocks to mean blocks is on block_id and left to the planner (AQE turns it
     into a broadcast when the mean blocks are small, a sort-merge join
     otherwise). A training id whose only block row has null vals scores 0.0.
     """
     val = blocks.filter((F.col(split_col) == "val") & F.col(vals_col).isNotNull())
     train = blocks.filter(F.col(split_col) == "train")
-    vmean = (val.select(block_col, F.posexplode(vals_col).alias("pos", "x"))
-             .groupBy(block_col, "pos").agg(F.avg("x").alias("m"))
-             .groupBy(block_col)
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))),
-                              lambda e: e["m"]).alias("vb")))
+    vmean = _vector_mean(val, vals_col, by=block_col).select(block_col, F.col("v").alias("vb"))
     per_block = (train.join(vmean, block_col, "left")
                  .select(id_col,
                          dot(vals_col, "vb").alias("gv"),
