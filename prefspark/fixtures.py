@@ -41,6 +41,15 @@ def fx_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", prompt.alias("prompt"), "chosen", "rejected")
 
 
+def fx_pref_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX-pref in the long layout: one row per message (id, side, turn, role, text)."""
+    conv = table(spark, sf_dir, "conversations")
+    return conv.select(
+        F.expr("conv_id div 2").alias("id"),
+        F.when(F.col("conv_id") % 2 == 0, F.lit("chosen")).otherwise(F.lit("rejected")).alias("side"),
+        "turn", "role", "text")
+
+
 def fx_sep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with newlines turned into U+2028 (even ids) / U+2029 (odd ids); some null texts."""
     d = table(spark, sf_dir, "documents")

@@ -47,6 +47,31 @@ def turn_text(msgs, role: str | None, which: str = "first", trim: bool = False,
     return content
 
 
+def turn_agg(role: str | None, which: str = "first", trim: bool = False,
+             default: str | None = "", where=None, text_col: str = "text",
+             role_col: str = "role", order_col: str = "turn") -> Column:
+    """P1 over long-form messages: an aggregate for use in ``groupBy(record).agg(...)``.
+
+    Picks the text of the first/last message (by ``order_col``) whose role
+    is ``role`` (any role when None) and that satisfies ``where``. min_by /
+    max_by skip rows whose ordering is null and combine map-side, so a
+    record with a huge number of messages never has to sit in one row.
+    """
+    if which not in ("first", "last"):
+        raise ValueError("which must be 'first' or 'last'")
+    cond = F.lit(True) if role is None else (F.col(role_col) == F.lit(role))
+    if where is not None:
+        cond = cond & where
+    order = F.when(cond, F.col(order_col))
+    pick = F.min_by if which == "first" else F.max_by
+    content = pick(F.col(text_col), order)
+    if trim:
+        content = py_strip(content)
+    if default is not None:
+        content = F.coalesce(content, F.lit(default))
+    return content
+
+
 def clean_text(col) -> Column:
     """Line and paragraph separators (U+2028, U+2029) become spaces; null stays null."""
     return F.translate(_c(col), "\u2028\u2029", "  ")

@@ -63,7 +63,7 @@ def judge_prompt(i: str, o1: str, o2: str) -> str:
 
 FX_PREF_MSGS = """fx_pref_msgs AS (
   SELECT conv_id // 2 AS id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos,
+         turn AS pos,
          role, text AS content, turn, conv_id
   FROM conversations)"""
 

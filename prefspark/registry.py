@@ -30,15 +30,13 @@ def _r9(c):
 # --- 2.1 sources and sinks ---------------------------------------------------
 
 def q_read_preferences(spark, sf):
-    pref = FX.fx_pref(spark, sf)
-    sides = []
-    for side in ("chosen", "rejected"):
-        sides.append(pref.select(
-            "id", "prompt", F.lit(side).alias("side"),
-            F.posexplode(side).alias("pos", "m")))
-    u = sides[0].unionByName(sides[1])
-    return u.select("id", "prompt", "side", F.col("pos").cast("long").alias("pos"),
-                    F.col("m.role").alias("role"), F.col("m.content").alias("content"))
+    path = scratch_path(spark, "preferences")
+    FX.fx_pref_long(spark, sf).write.parquet(path)
+    msgs = io.read_preferences(spark, path, layout="long")
+    prompt = msgs.groupBy("id").agg(
+        T.turn_agg("user", "first", default=None, where=F.col("side") == "chosen").alias("prompt"))
+    return msgs.join(prompt, "id").select(
+        "id", "prompt", "side", F.col("turn").alias("pos"), "role", F.col("text").alias("content"))
 
 
 def q_limit_first(spark, sf):
@@ -108,11 +106,10 @@ def q_read_prompts(spark, sf):
 # --- 2.2 projections and scalar functions ------------------------------------
 
 def _turns(spark, sf, which, trim, default):
-    m = FX.fx_msg(spark, sf)
-    return m.select(
-        "conv_id",
-        T.turn_text("msgs", "user", which, trim, default).alias("user_text"),
-        T.turn_text("msgs", "assistant", which, trim, default).alias("assistant_text"))
+    conv = FX.table(spark, sf, "conversations")
+    return conv.groupBy("conv_id").agg(
+        T.turn_agg("user", which, trim, default).alias("user_text"),
+        T.turn_agg("assistant", which, trim, default).alias("assistant_text"))
 
 
 def q_first_turn_trimmed(spark, sf):
@@ -128,16 +125,16 @@ def q_first_turn_raw(spark, sf):
 
 
 def q_last_message(spark, sf):
-    m = FX.fx_msg(spark, sf)
-    return m.select("conv_id", T.turn_text("msgs", None, "last", False, None).alias("content"))
+    conv = FX.table(spark, sf, "conversations")
+    return conv.groupBy("conv_id").agg(T.turn_agg(None, "last", default=None).alias("content"))
 
 
 def q_to_dpo_records(spark, sf):
-    return records.to_dpo_records(FX.fx_pref(spark, sf))
+    return records.to_dpo_records(FX.fx_pref_long(spark, sf))
 
 
 def q_conversion_report(spark, sf):
-    return records.conversion_report(FX.fx_pref(spark, sf))
+    return records.conversion_report(FX.fx_pref_long(spark, sf))
 
 
 def q_clean_text(spark, sf):
@@ -145,10 +142,10 @@ def q_clean_text(spark, sf):
 
 
 def q_render_training_text(spark, sf):
-    m = FX.fx_msg(spark, sf)
-    u = T.turn_text("msgs", "user", "last", False, None)
-    a = T.turn_text("msgs", "assistant", "last", False, None)
-    return m.select("conv_id", T.render_training_text(u, a).alias("text"))
+    conv = FX.table(spark, sf, "conversations")
+    t = conv.groupBy("conv_id").agg(T.turn_agg("user", "last", default=None).alias("u"),
+                                    T.turn_agg("assistant", "last", default=None).alias("a"))
+    return t.select("conv_id", T.render_training_text("u", "a").alias("text"))
 
 
 def q_render_generation_prompt(spark, sf):
@@ -236,7 +233,7 @@ def q_influence_scores_blocked(spark, sf):
 def q_attach_scores(spark, sf):
     train, val = _grad_split(spark, sf)
     scores = influence.influence_scores(train, val)
-    out = records.attach_scores(FX.fx_pref(spark, sf), scores)
+    out = records.attach_scores(FX.fx_pref_long(spark, sf), scores)
     return out.withColumn("score_datainf", _r9("score_datainf"))
 
 

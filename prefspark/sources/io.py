@@ -29,9 +29,18 @@ def _reader(spark: SparkSession, schema: str, fmt: str):
     return spark.read.schema(schema).format(fmt)
 
 
-def read_preferences(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Preference records (id, prompt, chosen, rejected)."""
-    return _reader(spark, PREF_SCHEMA, fmt).load(path)
+PREF_LONG_SCHEMA = "id bigint, side string, turn bigint, role string, text string"
+
+
+def read_preferences(spark: SparkSession, path: str, fmt: str = "parquet",
+                     layout: str = "nested") -> DataFrame:
+    """Preference records.
+
+    nested: (id, prompt, chosen, rejected) with message arrays; long: one
+    row per message (id, side, turn, role, text).
+    """
+    schema = {"nested": PREF_SCHEMA, "long": PREF_LONG_SCHEMA}[layout]
+    return _reader(spark, schema, fmt).load(path)
 
 
 def limit_first(df: DataFrame, n: int | None, order: str | list[str] = "id") -> DataFrame:

@@ -179,3 +179,14 @@ def test_read_preferences_round_trip(spark, tmp_dir, fmt):
     pref.write.format(fmt).save(f"{tmp_dir}/p")
     back = io.read_preferences(spark, f"{tmp_dir}/p", fmt)
     assert sorted(map(str, back.collect())) == sorted(map(str, pref.collect()))
+
+
+def test_nested_and_long_layouts_agree(spark):
+    from prefspark.operators import records
+    nested, long_ = FX.fx_pref(spark, SF01), FX.fx_pref_long(spark, SF01)
+    for fn in (records.to_dpo_records, records.conversion_report):
+        assert sorted(map(tuple, fn(nested).collect())) == sorted(map(tuple, fn(long_).collect()))
+    s = spark.createDataFrame([(0, 1.5), (3, -2.0)], "id long, score double")
+    a = records.attach_scores(nested, s).collect()
+    b = records.attach_scores(long_, s).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
