@@ -78,7 +78,7 @@ def q_upsert_by_key(spark, sf):
 def q_read_subject_results(spark, sf):
     path = scratch_path(spark, "subjects")
     io.write_subject_results(FX.fx_subj(spark, sf), path)
-    return io.read_subject_results(spark, path, file_name="*.json")
+    return io.read_subject_results(spark, path)
 
 
 def q_read_math_results(spark, sf):

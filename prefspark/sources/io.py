@@ -90,14 +90,19 @@ def _first_existing(spark: SparkSession, reader, candidates: list[str]) -> DataF
     raise FileNotFoundError(f"no result file under {candidates[0]}") from err
 
 
+SUBJECT_LONG_SCHEMA = "task string, acc double, label string"
+
+
 def read_subject_results(spark: SparkSession, path: str,
                          file_name: str = "mmlu_results.json") -> DataFrame:
-    """Flatten subject result files to (label, task, acc).
-
-    ``path`` is a result file, a folder holding ``file_name``, or a parent
-    whose children each hold one (one level down). The label is the parent
-    folder's name (``label=<x>`` folders, as partitioned writes make them,
-    give ``x``). A task without ``acc,none`` gives a null acc.
+    """Subject results as (label, task, acc).
+
+    Reads result documents: ``path`` is a result file, a folder holding
+    ``file_name``, or a parent whose children each hold one (one level
+    down); the label is the parent folder's name and a task without
+    ``acc,none`` gives a null acc. When no such document exists, ``path`` is
+    read as the long layout ``write_subject_results`` produces
+    (``label=<x>/`` folders of (task, acc) rows).
     """
     base = path.rstrip("/")
 
@@ -105,23 +110,23 @@ def read_subject_results(spark: SparkSession, path: str,
         return (spark.read.schema(SUBJECT_FILE_SCHEMA).option("multiLine", True).json(p)
                 .select(F.col("_metadata.file_path").alias("_f"), "results"))
 
-    if base.endswith(".json"):
-        cands = [base]
-    else:
-        cands = [f"{base}/{file_name}", f"{base}/*/{file_name}"]
-    df = _first_existing(spark, reader, cands)
-    folder = F.regexp_extract("_f", r"([^/]+)/[^/]+$", 1)
-    label = F.regexp_replace(folder, r"^label=", "")
+    cands = [base] if base.endswith(".json") else [f"{base}/{file_name}", f"{base}/*/{file_name}"]
+    try:
+        df = _first_existing(spark, reader, cands)
+    except FileNotFoundError:
+        return spark.read.schema(SUBJECT_LONG_SCHEMA).json(base).select("label", "task", "acc")
+    label = F.regexp_extract("_f", r"([^/]+)/[^/]+$", 1)
     return df.select(label.alias("label"), F.explode("results").alias("task", "r")) \
         .select("label", "task", F.col("r")["acc,none"].alias("acc"))
 
 
 def write_subject_results(acc: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One result document per label, under ``label=<x>/`` (readable by S7)."""
-    doc = (acc.groupBy("label")
-           .agg(F.map_from_entries(F.collect_list(F.struct(
-               "task", F.struct(F.col("acc").alias("acc,none"))))).alias("results")))
-    doc.repartition("label").write.mode(mode).partitionBy("label").json(path)
+    """(label, task, acc) rows as JSON Lines under ``label=<x>/`` folders (readable by S7).
+
+    One row per (label, task): nothing is gathered per label, however many
+    tasks a label has.
+    """
+    acc.select("label", "task", "acc").write.mode(mode).partitionBy("label").json(path)
 
 
 def read_math_results(spark: SparkSession, path: str) -> DataFrame:
