@@ -20,16 +20,12 @@ def _msg_list(entries):
                                                    m["text"].alias("content")))
 
 
-def fx_msg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, msgs ARRAY<STRUCT<role, content>> in turn order (one group per conversation)."""
-    conv = table(spark, sf_dir, "conversations")
-    return (conv.groupBy("conv_id")
-            .agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-            .select("conv_id", _msg_list("m").alias("msgs")))
-
-
 def fx_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id k: chosen = conversation 2k, rejected = conversation 2k+1, prompt = first user text of 2k."""
+    """Nested layout (unit tests): id k: chosen = conversation 2k, rejected = 2k+1, prompt.
+
+    Gathers each conversation into an array; the registered queries use
+    ``fx_pref_long`` instead.
+    """
     conv = table(spark, sf_dir, "conversations")
     g = (conv.groupBy(F.expr("conv_id div 2").alias("id"))
          .agg(F.array_sort(F.collect_list(

@@ -1,7 +1,7 @@
 """Column functions: pure expressions, evaluated inside whole-stage codegen."""
 
 from prefspark.functions.text import (  # noqa: F401
-    clean_text, cut_at_stop, preview, py_strip, render_fewshot_prompt,
+    clean_text, cut_at_stop, preview, py_strip, render_fewshot_prompt, turn_agg,
     render_generation_prompt, render_judge_prompt, render_training_text,
     short_subject, turn_text,
 )

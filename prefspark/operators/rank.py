@@ -24,6 +24,7 @@ The input itself must be deterministic: materialize float aggregates first.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 from pyspark.ml.feature import Bucketizer
@@ -53,14 +54,26 @@ def _quantiles(df: DataFrame, col: str, n_cuts: int, accuracy: int) -> tuple[lis
     return list(row["s"] or []), int(row["n"]), int(row["nk"])
 
 
-def _bucketize(df: DataFrame, in_col: str, out_col: str, cuts: list[float]) -> DataFrame:
-    """Range index of ``in_col`` among strictly increasing ``cuts`` (binary search, JVM side)."""
-    uniq = sorted(set(cuts))
-    if not uniq:
-        return df.withColumn(out_col, F.when(F.col(in_col).isNotNull(), F.lit(0)))
-    b = Bucketizer(splits=[-_INF] + uniq + [_INF], inputCol=in_col, outputCol=out_col,
-                   handleInvalid="keep")
-    return b.transform(df).withColumn(out_col, F.col(out_col).cast("int"))
+def _bucketize(df: DataFrame, in_col: str, out_col: str, cuts: list[float]) -> tuple[DataFrame, int]:
+    """Range index of ``in_col`` among the finite ``cuts`` (binary search, JVM side).
+
+    -inf gets range -1 and +inf range m+1 (after every finite value, before
+    null at m+2), so each infinity is a range of its own. Returns the frame
+    and m+2, the index used for null.
+    """
+    uniq = sorted({c for c in cuts if math.isfinite(c)})
+    x = F.col(in_col)
+    if uniq:
+        b = Bucketizer(splits=[-_INF] + uniq + [_INF], inputCol=in_col, outputCol=out_col,
+                       handleInvalid="keep")
+        df = b.transform(df)
+        finite = F.col(out_col).cast("int")
+    else:
+        finite = F.lit(0)
+    m = len(uniq)
+    seg = (F.when(x.isNull(), F.lit(m + 2)).when(x == F.lit(_INF), F.lit(m + 1))
+           .when(x == F.lit(-_INF), F.lit(-1)).otherwise(finite))
+    return df.withColumn(out_col, seg), m + 2
 
 
 def global_rank(df: DataFrame, keys: list, id_col: str = "id", rank_col: str = "rank",
@@ -99,9 +112,8 @@ def global_rank(df: DataFrame, keys: list, id_col: str = "id", rank_col: str = "
         if n == 0:
             cuts = []
         seg = f"_rk_s{lvl}"
-        work = _bucketize(work, d, seg, cuts)
-        n_ranges = len(set(cuts)) + 1
-        seg_col = F.coalesce(F.col(seg), F.lit(n_ranges))  # nulls after every value
+        work, _ = _bucketize(work, d, seg, cuts)
+        seg_col = F.col(seg)
         if hot_prev is not None:
             seg_col = F.when(hot_prev, seg_col).otherwise(F.lit(_AFTER))
         work = work.withColumn(seg, seg_col)

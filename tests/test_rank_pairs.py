@@ -136,3 +136,13 @@ def test_md5_order_with_a_third_identical_texts(spark):
     out = self_pairs_random(texts.select("id", F.lit("q").alias("instruction"), F.lit("").alias("input"),
                                          "chosen")).collect()
     assert len(out) == 3000 and all(r["rejected"] != r["chosen"] for r in out)
+
+
+def test_rank_with_infinities_hot_and_cold(spark):
+    inf = float("inf")
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, F.lit(inf))
+                                  .when(F.col("id") % 7 == 0, F.lit(-inf))
+                                  .when(F.col("id") % 11 == 0, F.lit(None))
+                                  .otherwise((F.col("id") % 50).cast("double")).alias("score_datainf"))
+    got = {r["id"]: r["rank"] for r in rank_by_score(df, buckets=8).collect()}
+    assert got == _ref_rank(df)
