@@ -74,7 +74,9 @@ def turn_agg(role: str | None, which: str = "first", trim: bool = False,
 
 def clean_text(col) -> Column:
     """Line and paragraph separators (U+2028, U+2029) become spaces; null stays null."""
-    return F.translate(_c(col), "\u2028\u2029", "  ")
+    # Two literal replaces: far cheaper on long texts than translate's per-character lookup.
+    one = F.replace(_c(col), F.lit("\u2028"), F.lit(" "))
+    return F.replace(one, F.lit("\u2029"), F.lit(" "))
 
 
 def _or_empty_marker(col) -> Column:
