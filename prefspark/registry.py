@@ -85,7 +85,7 @@ def q_read_math_results(spark, sf):
     path = scratch_path(spark, "math")
     scored = metrics.score_math(FX.fx_math(spark, sf)).select(
         "idx", "question", "gold", "prediction", "correct", "generated_text")
-    io.write_metrics(metrics.math_accuracy(scored), scored, path)
+    io.write_metrics(metrics.math_accuracy, scored, path)
     return io.read_math_results(spark, path)
 
 
@@ -93,7 +93,7 @@ def q_write_metrics(spark, sf):
     path = scratch_path(spark, "metrics")
     scored = metrics.score_math(FX.fx_math(spark, sf)).select(
         "idx", "question", "gold", "prediction", "correct", "generated_text")
-    io.write_metrics(metrics.math_accuracy(scored), scored, path)
+    io.write_metrics(metrics.math_accuracy, scored, path)
     return spark.read.parquet(f"{path}/metrics")
 
 

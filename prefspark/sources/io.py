@@ -149,12 +149,19 @@ def read_prompts(spark: SparkSession, path_or_df, fmt: str = "json") -> DataFram
     return df.select("idx", "instruction", F.coalesce(F.col("output"), F.lit("")).alias("output"))
 
 
-def write_metrics(metrics: DataFrame, results: DataFrame, path: str,
+def write_metrics(metrics, results: DataFrame, path: str,
                   mode: str = "errorifexists") -> None:
-    """Metrics (a one-row table) and per-row results, side by side as Parquet."""
+    """Metrics (a one-row table) and per-row results, side by side as Parquet.
+
+    ``metrics`` is a DataFrame, or a function of the results: then the rows
+    are written first and the metrics are computed from the written table,
+    so the per-row work runs once.
+    """
     base = path.rstrip("/")
-    metrics.write.mode(mode).parquet(f"{base}/metrics")
     results.write.mode(mode).parquet(f"{base}/results")
+    if callable(metrics):
+        metrics = metrics(results.sparkSession.read.parquet(f"{base}/results"))
+    metrics.write.mode(mode).parquet(f"{base}/metrics")
 
 
 REGISTRY_SCHEMA = "key string, file_name string, ranking boolean, columns map<string,string>"
