@@ -1,7 +1,9 @@
 """Pair construction from a global rank.
 
-Every strategy is a self equi-join of the ranked table on a partner rank:
-rank keys are unique, so the join shuffles evenly and never skews.
+Each ranked row emits a winner record for its own pair and a loser record
+for the pair that takes its text; grouping by (strategy, pair) meets exactly
+two records. Pair keys are unique per strategy, so the one shuffle is even
+and never skews, and all strategies share it.
 """
 
 from __future__ import annotations
