@@ -191,7 +191,7 @@ def lc_winrate(judged: DataFrame, reg_c: float = 1.0, max_iter: int = 100) -> Da
     finally:
         data.unpersist()
     z = b0 + coefs[2] * float(stats["mlm"]) + coefs[3] * float(stats["mlr"])
-    lc = 100.0 / (1.0 + math.exp(-z))
+    lc = 100.0 / (1.0 + math.exp(-z)) if z >= 0 else 100.0 * math.exp(z) / (1.0 + math.exp(z))
     names = K.LENGTH_FEATURES + ["intercept"]
     return judged.sparkSession.createDataFrame(
         [((wins / n) * 100.0, lc, n, wins, dict(zip(names, coefs + [b0])))],
