@@ -211,11 +211,15 @@ def fx_inst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_upsert(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """old: orders with status F or O; new: orders with status O or P, marked 'U'.
+
+    So O keys are replaced, P keys are added and F keys are kept.
+    """
     o = table(spark, sf_dir, "orders")
-    old = o.filter(F.col("o_orderkey") % 3 != 0).select(
+    old = o.filter(F.col("o_orderstatus").isin("F", "O")).select(
         F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"),
         F.col("o_totalprice").alias("price"))
-    new = o.filter(F.col("o_orderkey") % 2 == 0).select(
+    new = o.filter(F.col("o_orderstatus").isin("O", "P")).select(
         F.col("o_orderkey").alias("key"), F.lit("U").alias("status"),
         F.col("o_totalprice").alias("price"))
     return old, new

@@ -298,9 +298,10 @@ FROM fx_pref_msgs m LEFT JOIN fx_pref_prompt p USING (id)""",
     "write_pairs": _with(FX_SCORED, _PAIR_RANKED.format(src="fx_scored")) + _pair_select(_SYM),
     "upsert_by_key": """
 SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price
-FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 <> 0
+FROM orders WHERE o_orderstatus = 'F'
 UNION ALL
-SELECT o_orderkey AS key, 'U' AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 2 = 0""",
+SELECT o_orderkey AS key, 'U' AS status, o_totalprice AS price
+FROM orders WHERE o_orderstatus IN ('O', 'P')""",
     "read_subject_results": _with(FX_SUBJ) + "SELECT label, task, acc FROM fx_subj",
     "read_math_results": _with(FX_MATH) + "SELECT * FROM fx_math_scored",
     "write_metrics": _MATH_ACC,
