@@ -29,18 +29,30 @@ def _reader(spark: SparkSession, schema: str, fmt: str):
     return spark.read.schema(schema).format(fmt)
 
 
+def with_position_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Give rows read from id-less files (row position was the identity) a unique id.
+
+    ``monotonically_increasing_id`` is unique and follows file order within
+    each split; it depends only on the input files and split size, so every
+    re-read of the same files gives the same ids. Materialize the result if
+    the input may change.
+    """
+    return df.withColumn(id_col, F.monotonically_increasing_id())
+
+
 PREF_LONG_SCHEMA = "id bigint, side string, turn bigint, role string, text string"
 
 
 def read_preferences(spark: SparkSession, path: str, fmt: str = "parquet",
-                     layout: str = "nested") -> DataFrame:
+                     layout: str = "nested", assign_ids: bool = False) -> DataFrame:
     """Preference records.
 
     nested: (id, prompt, chosen, rejected) with message arrays; long: one
     row per message (id, side, turn, role, text).
     """
     schema = {"nested": PREF_SCHEMA, "long": PREF_LONG_SCHEMA}[layout]
-    return _reader(spark, schema, fmt).load(path)
+    df = _reader(spark, schema, fmt).load(path)
+    return with_position_ids(df) if (assign_ids and layout == "nested") else df
 
 
 def limit_first(df: DataFrame, n: int | None, order: str | list[str] = "id") -> DataFrame:
@@ -61,9 +73,15 @@ def normalize_scores(df: DataFrame, score_col: str = "score_datainf") -> DataFra
     return out.withColumn(score_col, F.when(F.isnan(s), F.lit(None).cast("double")).otherwise(s))
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """S3: JSON Lines score rows with the S3 normalisation."""
-    return normalize_scores(spark.read.schema(SCORED_SCHEMA).json(path))
+def read_scores(spark: SparkSession, path: str, assign_ids: bool = False) -> DataFrame:
+    """S3: JSON Lines score rows with the S3 normalisation.
+
+    ``assign_ids`` gives files without an ``id`` field positional ids.
+    """
+    df = spark.read.schema(SCORED_SCHEMA).json(path)
+    if assign_ids:
+        df = with_position_ids(df)
+    return normalize_scores(df)
 
 
 def write_scores(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -142,10 +160,16 @@ def read_math_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MATH_ROW_SCHEMA).parquet(f"{base}/results")
 
 
-def read_prompts(spark: SparkSession, path_or_df, fmt: str = "json") -> DataFrame:
-    """Prompts with their reference output; a missing output reads as ""."""
+def read_prompts(spark: SparkSession, path_or_df, fmt: str = "json",
+                 assign_ids: bool = False) -> DataFrame:
+    """Prompts with their reference output; a missing output reads as "".
+
+    ``assign_ids`` gives files without an ``idx`` field positional ids.
+    """
     df = path_or_df if isinstance(path_or_df, DataFrame) else \
         _reader(spark, PROMPT_SCHEMA, fmt).load(path_or_df)
+    if assign_ids:
+        df = with_position_ids(df, "idx")
     return df.select("idx", "instruction", F.coalesce(F.col("output"), F.lit("")).alias("output"))
 
 

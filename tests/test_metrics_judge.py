@@ -190,3 +190,17 @@ def test_nested_and_long_layouts_agree(spark):
     a = records.attach_scores(nested, s).collect()
     b = records.attach_scores(long_, s).collect()
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_id_less_score_file(spark, tmp_dir):
+    p = f"{tmp_dir}/scores.jsonl"
+    with open(p, "w") as f:
+        for i, s in enumerate([0.5, None, 2.0]):
+            f.write(json.dumps({"instruction": f"q{i}", "input": "", "chosen": f"c{i}",
+                                "rejected": f"c{i}", "score_datainf": s}) + "\n")
+    df = io.read_scores(spark, p, assign_ids=True)
+    rows = df.collect()
+    assert len({r["id"] for r in rows}) == 3
+    from prefspark.operators.rank import rank_by_score
+    ranked = {r["instruction"]: r["rank"] for r in rank_by_score(df).collect()}
+    assert ranked == {"q2": 0, "q0": 1, "q1": 2}
