@@ -114,18 +114,28 @@ def choice_accuracy(mc: DataFrame) -> DataFrame:
         (F.count_if(hit).cast("double") / F.count(F.lit(1)).cast("double")).alias("accuracy"))
 
 
+_BAND = 500.0  # exp(x) for x in [0, 500) stays far inside the double range
+
+
 def true_mass(mc: DataFrame) -> DataFrame:
     """Per subject, mean over questions of the normalised probability on true choices.
 
-    The per-question max is taken first (a small aggregate joined back), so
-    exp never underflows; the sums are partial aggregates.
+    Two levels of map-side aggregation, no row-level join: rows are summed
+    per (question, band of ll) as exp(ll - band), which lies in [1, e^500);
+    the few band rows of each question are then re-based to its top band.
+    A question with a third of all rows is combined like any other.
     """
-    qmax = mc.groupBy("subject", "qid").agg(F.max("ll").alias("_mx"))
-    x = mc.join(qmax, ["subject", "qid"])
-    e = F.exp(F.col("ll") - F.col("_mx"))
-    q = x.groupBy("subject", "qid").agg(
-        F.sum(F.when(F.col("is_true"), e).otherwise(F.lit(0.0))).alias("_t"),
-        F.sum(e).alias("_z"))
+    band = F.floor(F.col("ll") / F.lit(_BAND)) * F.lit(_BAND)
+    e = F.exp(F.col("ll") - F.col("_b"))
+    banded = (mc.withColumn("_b", band)
+              .groupBy("subject", "qid", "_b")
+              .agg(F.sum(F.when(F.col("is_true"), e).otherwise(F.lit(0.0))).alias("_t"),
+                   F.sum(e).alias("_z")))
+    top = banded.groupBy("subject", "qid").agg(F.max("_b").alias("_m"))
+    scale = F.exp(F.col("_b") - F.col("_m"))
+    q = (banded.join(top, ["subject", "qid"])
+         .groupBy("subject", "qid")
+         .agg(F.sum(F.col("_t") * scale).alias("_t"), F.sum(F.col("_z") * scale).alias("_z")))
     return q.groupBy("subject").agg(
         F.count(F.lit(1)).alias("n_questions"),
         F.avg(F.col("_t") / F.col("_z")).alias("mc2"))

@@ -204,3 +204,13 @@ def test_id_less_score_file(spark, tmp_dir):
     from prefspark.operators.rank import rank_by_score
     ranked = {r["instruction"]: r["rank"] for r in rank_by_score(df).collect()}
     assert ranked == {"q2": 0, "q0": 1, "q1": 2}
+
+
+def test_true_mass_extreme_log_likelihoods(spark):
+    rows = [("s", 1, 1, -5000.0, True), ("s", 1, 2, -5001.0, False), ("s", 1, 3, -9000.0, True),
+            ("s", 2, 4, 0.0, False), ("s", 2, 5, 0.0, True)]
+    mc = spark.createDataFrame(rows, "subject string, qid long, choice long, ll double, is_true boolean")
+    got = metrics.true_mass(mc).first()
+    e = np.exp(-1.0)
+    assert got["n_questions"] == 2
+    assert abs(got["mc2"] - ((1 / (1 + e)) + 0.5) / 2) < 1e-12
