@@ -1,9 +1,10 @@
 """Pair construction from a global rank.
 
-Each ranked row emits a winner record for its own pair and a loser record
-for the pair that takes its text; grouping by (strategy, pair) meets exactly
-two records. Pair keys are unique per strategy, so the one shuffle is even
-and never skews, and all strategies share it.
+D2/D3/D5 group ranked rows so that partners meet (mirror groups of two,
+neighbour blocks of 64 ranks plus one boundary copy): one exchange for all
+strategies, each text shuffled about once. D4 (a shift by m) sends a winner
+and a loser record per row instead. Group keys are dense and bounded, so
+the exchange is even and never skews.
 """
 
 from __future__ import annotations
@@ -56,6 +57,55 @@ def _pair_up(ranked: DataFrame, plans: list[tuple[str | None, Column]], rank_col
         tidy("rej").alias("rejected"))
 
 
+_BLOCK = 64  # ranks per neighbour-pair block (bounds the rows gathered per group)
+
+
+def _pair_blocks(ranked: DataFrame, strategies: list[str], block: int = _BLOCK) -> DataFrame:
+    """Mirror and neighbour pairs with each text shuffled about once per strategy.
+
+    Mirror pairs: ranks r and n-1-r meet in group least(r, n-1-r) (one or two
+    rows). Neighbour pairs: ranks meet in blocks of ``block`` consecutive
+    ranks, and the first rank of each block is also copied to the block
+    before it (rank 0 to the last block, ordered after n-1), so rank r finds
+    r+1 mod n in its own group. Groups hold at most block+1 rows, and all
+    strategies share one exchange.
+    """
+    r, n = F.col("rank"), F.col("_n")
+    body = [r.alias("r"), F.col("instruction").alias("i"), F.col("input").alias("n"),
+            F.col("chosen").alias("c")]
+    recs = []
+    if "symmetric" in strategies:
+        recs.append(F.struct(F.lit("symmetric").alias("s"), F.least(r, n - 1 - r).alias("k"),
+                             r.alias("v"), F.lit(True).alias("own"), *body))
+    if "next_neighbor" in strategies:
+        blk = F.floor(r / F.lit(block))
+        last = F.floor((n - 1) / F.lit(block))
+        recs.append(F.struct(F.lit("next_neighbor").alias("s"), blk.alias("k"), r.alias("v"),
+                             F.lit(True).alias("own"), *body))
+        recs.append(F.when(r % F.lit(block) == 0, F.struct(
+            F.lit("next_neighbor").alias("s"),
+            F.when(r == 0, last).otherwise(blk - 1).alias("k"),
+            F.when(r == 0, n).otherwise(r).alias("v"), F.lit(False).alias("own"), *body)))
+    x = (ranked.select(F.explode(F.array(*recs)).alias("e")).filter(F.col("e").isNotNull())
+         .select("e.*"))
+    g = (x.repartition("s", "k").groupBy("s", "k")
+         .agg(F.array_sort(F.collect_list(F.struct("v", "own", "r", "i", "n", "c"))).alias("m")))
+    m = F.col("m")
+
+    def emit(e, idx):
+        partner = F.when(F.col("s") == "symmetric", F.element_at(m, F.size(m) - idx)) \
+            .otherwise(F.element_at(m, idx + 2))
+        return F.when(e["own"], F.struct(e["r"].alias("rank"), e["i"].alias("instruction"),
+                                         e["n"].alias("input"), e["c"].alias("chosen"),
+                                         partner["c"].alias("rejected")))
+    out = g.select("s", F.explode(F.transform(m, emit)).alias("o")).filter(F.col("o").isNotNull())
+    return out.select(
+        F.col("s").alias("strategy"), F.col("o.rank").alias("rank"),
+        clean_text("o.instruction").alias("instruction"),
+        clean_text(F.coalesce("o.input", F.lit(""))).alias("input"),
+        clean_text("o.chosen").alias("chosen"), clean_text("o.rejected").alias("rejected"))
+
+
 def _mirror_giver() -> Column:
     # Row r's text is rejected for pair p with n-1-p = r.
     return F.col("_n") - 1 - F.col("rank")
@@ -96,7 +146,7 @@ def symmetric_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col:
     if keep not in ("all", "upper_half"):
         raise ValueError("keep must be 'all' or 'upper_half'")
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    out = _pair_up(r, [(None, _mirror_giver())])
+    out = _pair_blocks(r, ["symmetric"])
     if keep == "upper_half":
         # pair i is kept when i < n-1-i, i.e. 2i + 1 < n
         n = r.agg(F.max("_n").alias("_nn")).scalar()
@@ -108,19 +158,18 @@ def next_neighbor_pairs(scored: DataFrame, score_col: str = "score_datainf", id_
                         ranked: DataFrame | None = None) -> DataFrame:
     """D3: rank i against rank (i+1) mod n (the last row wraps to the best)."""
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    return _pair_up(r, [(None, _next_giver())]).select(*_OUT)
+    return _pair_blocks(r, ["next_neighbor"]).select(*_OUT)
 
 
 def pairs(scored: DataFrame, strategy: str = "both", score_col: str = "score_datainf",
           id_col: str = "id", ranked: DataFrame | None = None) -> DataFrame:
     """One table with a ``strategy`` column; rank once, shuffle once for all strategies."""
-    plans = {"symmetric": [("symmetric", _mirror_giver())],
-             "next_neighbor": [("next_neighbor", _next_giver())]}
-    plans["both"] = plans["symmetric"] + plans["next_neighbor"]
+    plans = {"symmetric": ["symmetric"], "next_neighbor": ["next_neighbor"],
+             "both": ["symmetric", "next_neighbor"]}
     if strategy not in plans:
         raise ValueError("strategy must be symmetric, next_neighbor or both")
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    return _pair_up(r, plans[strategy]).select("strategy", *_OUT)
+    return _pair_blocks(r, plans[strategy]).select("strategy", *_OUT)
 
 
 def self_pair_order_keys(text_col: str = "chosen", seed: int = K.SELF_PAIR_SEED):

@@ -146,3 +146,16 @@ def test_rank_with_infinities_hot_and_cold(spark):
                                   .otherwise((F.col("id") % 50).cast("double")).alias("score_datainf"))
     got = {r["id"]: r["rank"] for r in rank_by_score(df, buckets=8).collect()}
     assert got == _ref_rank(df)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 10])
+@pytest.mark.parametrize("block", [1, 2, 3, 64])
+def test_block_pairing_equals_record_pairing(spark, n, block):
+    from prefspark.operators.pairs import _mirror_giver, _next_giver, _pair_blocks, _pair_up
+    ranked = spark.createDataFrame(
+        [(i, n, f"i{i}", "", f"t{i}") for i in range(n)],
+        "rank long, _n long, instruction string, input string, chosen string")
+    got = _pair_blocks(ranked, ["symmetric", "next_neighbor"], block=block)
+    ref = _pair_up(ranked, [("symmetric", _mirror_giver()), ("next_neighbor", _next_giver())])
+    cols = ["strategy", "rank", "instruction", "input", "chosen", "rejected"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
