@@ -106,6 +106,41 @@ def _pair_blocks(ranked: DataFrame, strategies: list[str], block: int = _BLOCK)
         clean_text("o.chosen").alias("chosen"), clean_text("o.rejected").alias("rejected"))
 
 
+def _pair_shift(ranked: DataFrame, shift: Column, block: int = _BLOCK,
+                keep_id: str | None = None) -> DataFrame:
+    """Pairs (r, (r + shift) mod n) with each text shuffled once plus only the copies needed.
+
+    Every row goes to its block of ``block`` consecutive ranks; it is copied
+    to the block of the pair that takes its text only when that is another
+    block (a fraction shift/block of the rows when shift < block, every row
+    at worst). A group holds at most 2 x block rows; the partner is found in
+    the group by rank.
+    """
+    r, n = F.col("rank"), F.col("_n")
+    own_blk = F.floor(r / F.lit(block))
+    target = F.floor(F.pmod(r - shift, n) / F.lit(block))
+    kid = F.col(keep_id) if keep_id else F.lit(None).cast("long")
+    body = [r.alias("r"), F.col("instruction").alias("i"), F.col("input").alias("n"),
+            F.col("chosen").alias("c"), kid.alias("id"), n.alias("nn"), shift.alias("sh")]
+    own = F.struct(own_blk.alias("k"), F.lit(True).alias("own"), *body)
+    copy = F.when(target != own_blk, F.struct(target.alias("k"), F.lit(False).alias("own"), *body))
+    x = (ranked.select(F.explode(F.array(own, copy)).alias("e")).filter(F.col("e").isNotNull())
+         .select("e.*"))
+    g = (x.repartition("k").groupBy("k")
+         .agg(F.collect_list(F.struct("r", "own", "i", "n", "c", "id")).alias("m"),
+              F.first("nn").alias("nn"), F.first("sh").alias("sh")))
+    m = F.col("m")
+
+    def emit(e):
+        want = F.pmod(e["r"] + F.col("sh"), F.col("nn"))
+        partner = F.element_at(F.filter(m, lambda y: y["r"] == want), 1)
+        return F.when(e["own"], F.struct(e["r"].alias("rank"), e["id"].alias("_id"),
+                                         e["i"].alias("instruction"), e["n"].alias("input"),
+                                         e["c"].alias("chosen"), partner["c"].alias("rejected")))
+    out = g.select(F.explode(F.transform(m, emit)).alias("o")).filter(F.col("o").isNotNull())
+    return out.select("o.*")
+
+
 def _mirror_giver() -> Column:
     # Row r's text is rejected for pair p with n-1-p = r.
     return F.col("_n") - 1 - F.col("rank")
@@ -210,12 +245,10 @@ def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str
         F.lit("self_pairs_random: a text fills more than half of the rows (m="),
         F.col("_m").cast("string"), F.lit(", n="), F.col("_n").cast("string"), F.lit(")")))
     ).otherwise(F.col("_m"))
-    # Row r's text is rejected for pair p with (p + m) mod n = r.
-    order = x.select("_id", F.col("_r").alias("rank"),
-                     F.pmod(F.col("_r") - shift, F.col("_n")).alias("_giver"))
+    order = x.select("_id", F.col("_r").alias("rank"), "_n", shift.alias("_shift"))
     payload = df.select(F.col(id_col).alias("_id"), "instruction",
                         F.coalesce("input", F.lit("")).alias("input"),
                         F.col(text_col).alias("chosen"))
     wide = order.join(payload, "_id")
-    out = _pair_up(wide, [(None, F.col("_giver"))], keep_id="_id", clean=False)
+    out = _pair_shift(wide, F.col("_shift"), keep_id="_id")
     return out.select(F.col("_id").alias(id_col), "instruction", "input", "chosen", "rejected")

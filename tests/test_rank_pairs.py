@@ -159,3 +159,17 @@ def test_block_pairing_equals_record_pairing(spark, n, block):
     ref = _pair_up(ranked, [("symmetric", _mirror_giver()), ("next_neighbor", _next_giver())])
     cols = ["strategy", "rank", "instruction", "input", "chosen", "rejected"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
+
+
+@pytest.mark.parametrize("n,shift", [(1, 0), (2, 1), (7, 3), (10, 1), (10, 4), (10, 9), (200, 5), (200, 150)])
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_shift_pairing_equals_record_pairing(spark, n, shift, block):
+    from prefspark.operators.pairs import _pair_shift, _pair_up
+    ranked = spark.createDataFrame(
+        [(i, n, i * 10, f"i{i}", "", f"t{i}") for i in range(n)],
+        "rank long, _n long, id long, instruction string, input string, chosen string")
+    got = _pair_shift(ranked, F.lit(shift), block=block, keep_id="id")
+    ref = _pair_up(ranked, [(None, F.pmod(F.col("rank") - shift, F.col("_n")))], keep_id="id",
+                   clean=False)
+    cols = ["rank", "_id", "instruction", "input", "chosen", "rejected"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
