@@ -2,9 +2,11 @@
 
 D2/D3/D5 group ranked rows so that partners meet (mirror groups of two,
 neighbour blocks of 64 ranks plus one boundary copy): one exchange for all
-strategies, each text shuffled about once. D4 (a shift by m) sends a winner
-and a loser record per row instead. Group keys are dense and bounded, so
-the exchange is even and never skews.
+strategies, each text shuffled about once. D4 (a shift by m) uses blocks of
+64 ranks with copies only where the partner's block differs. Group keys are
+dense and groups bounded, so the exchange is even and never skews.
+``_pair_up`` (one winner and one loser record per row) is the plain scheme
+the tests compare both against.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ _OUT = ["rank", "instruction", "input", "chosen", "rejected"]
 
 def _pair_up(ranked: DataFrame, plans: list[tuple[str | None, Column]], rank_col: str = "rank",
              keep_id: str | None = None, clean: bool = True) -> DataFrame:
-    """Pairs from one pass over the ranked rows and one shuffle.
+    """Pairs from one pass over the ranked rows and one shuffle (the plain scheme).
 
     For each (strategy, giver) plan every row emits a winner record for its
     own pair (pair = its rank) and a loser record for the pair that takes its
