@@ -5,7 +5,6 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from prefspark import constants as K
 from prefspark.functions.text import render_fewshot_prompt
