@@ -173,3 +173,17 @@ def test_shift_pairing_equals_record_pairing(spark, n, shift, block):
                    clean=False)
     cols = ["rank", "_id", "instruction", "input", "chosen", "rejected"]
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, ref.select(cols).collect()))
+
+
+def test_many_partitions_few_rows(spark):
+    """Default cluster settings (200 partitions -> 1600 buckets) on a few hundred rows."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        df = _scored(spark, [float(i % 13) for i in range(300)])
+        got = {r["id"]: r["rank"] for r in rank_by_score(df).collect()}
+        assert got == _ref_rank(df)
+        out = symmetric_pairs(df).collect()
+        assert sorted(r["rank"] for r in out) == list(range(300))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
