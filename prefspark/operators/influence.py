@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from prefspark import constants as K
 from prefspark.functions.text import preview
 from prefspark.functions.vectors import dot, sq_norm
+from prefspark.session import materialize
 
 
 def _vector_mean(df: DataFrame, grad_col: str, by: str | None = None) -> DataFrame:
@@ -74,19 +75,27 @@ def influence_scores(train: DataFrame, val: DataFrame, id_col: str = "id", grad_
 
 def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: str = "split",
                              block_col: str = "block_id", vals_col: str = "vals",
-                             divisor: float = K.DAMPING_DIVISOR) -> DataFrame:
+                             divisor: float = K.DAMPING_DIVISOR,
+                             max_broadcast_bytes: int = 512 * 2**20) -> DataFrame:
     """I4: the I3 result for gradients stored as (id, split, block_id, vals) slices.
 
     g.v and |g|^2 add up over blocks, so no row ever holds the whole gradient.
     The validation mean is computed per block (one vector buffer per task and
-    block); the join of training
-    blocks to mean blocks is on block_id and left to the planner (AQE turns it
-    into a broadcast when the mean blocks are small, a sort-merge join
-    otherwise). A training id whose only block row has null vals scores 0.0.
+    block), written once and broadcast to the training blocks when it fits
+    ``max_broadcast_bytes`` (its size is the model dimension, not the data);
+    above that the planner joins on block_id. A training id whose only block
+    row has null vals scores 0.0.
     """
     val = blocks.filter((F.col(split_col) == "val") & F.col(vals_col).isNotNull())
     train = blocks.filter(F.col(split_col) == "train")
     vmean = _vector_mean(val, vals_col, by=block_col).select(block_col, F.col("v").alias("vb"))
+    # The mean has the model's dimension, whatever the number of rows: write it
+    # once, measure it, and broadcast it below the limit so the gradient table
+    # is never shuffled by block; above it the planner's join takes over.
+    vmean = materialize(vmean, "mean-blocks")
+    dim = vmean.agg(F.sum(F.size("vb"))).first()[0] or 0
+    if dim * 8 <= max_broadcast_bytes:
+        vmean = F.broadcast(vmean)
     per_block = (train.join(vmean, block_col, "left")
                  .select(id_col,
                          dot(vals_col, "vb").alias("gv"),
