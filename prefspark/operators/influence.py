@@ -63,7 +63,12 @@ def damping(train: DataFrame, grad_col: str = "grad", divisor: float = K.DAMPING
 
 def influence_scores(train: DataFrame, val: DataFrame, id_col: str = "id", grad_col: str = "grad",
                      divisor: float = K.DAMPING_DIVISOR) -> DataFrame:
-    """(id, score). Rows without a gradient score 0.0; lambda = 0 gives null."""
+    """(id, score). Rows without a gradient score 0.0; lambda = 0 gives null.
+
+    The mean vector travels as one broadcast row; for gradients too wide for
+    that (hundreds of MB), store them in slices and use
+    ``influence_scores_blocked``.
+    """
     v = mean_vector_row(val, grad_col)
     lam = damping(train, grad_col, divisor).scalar()  # scalar subquery, evaluated once
     # v is one row of dimension size: broadcast once per executor (not per task).
