@@ -4,9 +4,9 @@ score(g) = (g.v) / (lambda + |g|^2), the first-order Woodbury form of
 g . H^-1 v with H ~ lambda*I + g g^T; algebraically equal to
 g . (v - c g) / lambda with c = (g.v) / (lambda + |g|^2).
 
-v (the validation mean) and lambda (from the training rows alone) are
-one-row aggregates broadcast to the scan: a single pass over the training
-gradients replaces the two passes of a per-row loop.
+v (the validation mean, one broadcast row) and lambda (from the training
+rows alone, a scalar subquery) are aggregates attached to one scan of the
+training gradients, which replaces the two passes of a per-row loop.
 """
 
 from __future__ import annotations
