@@ -5,12 +5,11 @@
 
 import pytest
 
-import __spark_entry__ as E
-
 from conftest import SF001
 from oracle_check import compare, duck
 
-ORACLE = E.oracle_sql()
+from prefspark.oracle import ORACLE
+from prefspark.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -20,10 +19,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, con, name):
-    ok, msg = compare(E.queries()[name](spark, SF001), con, ORACLE[name])
+    ok, msg = compare(QUERIES[name](spark, SF001), con, ORACLE[name])
     assert ok, msg
 
 
 def test_every_query_is_checked():
-    missing = set(E.queries()) - set(ORACLE)
+    missing = set(QUERIES) - set(ORACLE)
     assert missing == {"lc_winrate"}  # rows-only; see test_metrics_judge.test_lc_winrate_matches_newton
