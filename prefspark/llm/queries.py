@@ -5,14 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from prefspark.llm import mixing, quality
+from prefspark.llm import mixing, pii, quality, sharding
 from prefspark.llm.common import table
 from prefspark.llm.sql import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.uniform_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"),
+                      F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -24,7 +33,20 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "source", "host_docs", "host_failed")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def of(kind):
+        return F.filter("pii", lambda s: s["kind"] == kind)
+
+    base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select("doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in pii.BASE],
+                        F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("pii")).alias("spans"))
+
+
 QUERIES: dict[str, Query] = {
+    "op3_shard": op3_shard,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
+    "op10_pii": op10_pii,
 }
