@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import mixing, pii, quality, sharding
+from prefspark.llm import mixing, packing, pii, quality, search, sharding
 from prefspark.llm.common import table
 from prefspark.llm.sql import ORACLE  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  with_ids=False)
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.uniform_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce("text", F.lit(""))
@@ -22,6 +28,10 @@ def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -45,7 +55,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_pack": op1_pack,
     "op3_shard": op3_shard,
+    "op4_search": op4_search,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,

@@ -60,5 +60,15 @@ ve as (select ho.*, (host_failed + mean * wt) / (host_docs + wt) <= 0.75 host_ke
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and host_kept as kept, ru.source as source, host_docs, host_failed
 from ru join ve on ru.source is not distinct from ve.source
+""",
+    "op4_search": """
+with v as (
+  select row_number() over () uid, vec_id, [floor(256 * x::double) for x in embedding] e from embeddings
+  where embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
+s as (
+  select q.uid, q.vec_id query_id, c.uid cuid, c.vec_id, list_dot_product(q.e, c.e)::bigint score
+  from v q join v c on q.vec_id % 50 = 0 and c.uid <> q.uid),
+r as (select *, row_number() over (partition by uid order by score desc, vec_id nulls last, cuid)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
 """,
 }
