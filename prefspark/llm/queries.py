@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import mixing, packing, pii, quality, search, sharding
+from prefspark.llm import chat, langid, mixing, packing, pii, quality, search, sharding
 from prefspark.llm.common import table
 from prefspark.llm.sql import ORACLE  # noqa: F401
 
@@ -32,6 +32,18 @@ def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_preferences(chat.last_turn_swapped(table(spark, sf_dir, "conversations")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = F.crc32(F.col("doc_id").cast("string")) % 3
+    samples = langid.learning_sample(docs, part != 1)
+    out = langid.identify(docs.select("doc_id", "text"), samples)
+    return out.select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -58,6 +70,8 @@ QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
     "op3_shard": op3_shard,
     "op4_search": op4_search,
+    "op6_chat": op6_chat,
+    "op7_langid": op7_langid,
     "op8_mix": op8_mix,
     "op9_quality": op9_quality,
     "op10_pii": op10_pii,

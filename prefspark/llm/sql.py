@@ -70,5 +70,37 @@ s as (
   from v q join v c on q.vec_id % 50 = 0 and c.uid <> q.uid),
 r as (select *, row_number() over (partition by uid order by score desc, vec_id nulls last, cuid)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op6_chat": """
+with c as (select conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
+l as (select conv_id pair_id, max(turn) last_ from c group by conv_id),
+t as (
+  select conv_id pair_id, 'chosen' side, turn, role, text from c
+  union all
+  select l.pair_id, 'rejected', c.turn, c.role, c.text from c join l
+    on (c.conv_id = l.pair_id and c.turn < last_) or (xor(c.conv_id, 1) = l.pair_id and c.turn >= last_)),
+b as (
+  select pair_id, turn, min({'role': role, 'text': text}) filter (where side = 'chosen') c,
+    min({'role': role, 'text': text}) filter (where side = 'rejected') r from t group by pair_id, turn),
+f as (select pair_id, min(turn) filter (where c is null or r is null or c is distinct from r) first_,
+        bool_or(c is not null) has_c, bool_or(r is not null) has_r from b group by pair_id),
+p as (
+  select pair_id, turn, 'p' part, c x from b join f using (pair_id) where c is not null and coalesce(turn < first_, true)
+  union all
+  select pair_id, turn, 'c', c from b join f using (pair_id) where c is not null and turn >= first_
+  union all
+  select pair_id, turn, 'r', r from b join f using (pair_id) where r is not null and turn >= first_),
+s as (
+  select *, '<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10) t from p),
+o as (select *, sum(length(t)) over (partition by pair_id, part order by turn) - length(t) at_ from s),
+g as (
+  select pair_id, part, count(*) n, string_agg(t, '' order by turn) t,
+    string_agg((at_ + 13 + length(coalesce(x.role, '')))::bigint::varchar || ':' || (at_ + length(t) - 1)::bigint::varchar,
+      ',' order by turn) filter (where x.role = 'assistant') m from o group by pair_id, part)
+select f.pair_id, coalesce(p.n, 0)::bigint n_prompt_turns, coalesce(p.t, '') prompt,
+  case when has_c then coalesce(c.t, '') end chosen, case when has_r then coalesce(r.t, '') end rejected,
+  case when has_c then coalesce(c.m, '') end chosen_mask, case when has_r then coalesce(r.m, '') end rejected_mask
+from f left join g p on p.pair_id = f.pair_id and p.part = 'p' left join g c on c.pair_id = f.pair_id and c.part = 'c'
+  left join g r on r.pair_id = f.pair_id and r.part = 'r'
 """,
 }
