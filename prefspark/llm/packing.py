@@ -11,7 +11,7 @@
    fill its last bins, others have.
 
 Token ids come from a public tokenizer's file, which is read on the driver and
-sent to the tasks.  Tokenising is memoised by chunk: no token spans the place
+sent to the tasks.  Tokenising is memoised by word: no token spans the place
 between a non-space and a space that is followed by a non-space.
 
 Defined cases: a null text counts as empty and becomes one piece of the end id;
@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,22 +38,54 @@ from prefspark.session import materialize
 CAPACITY, END = 2048, 0
 SHARD_ROWS, ROUNDS = 8_192, 3
 NEARLY_FULL = 8  # tokens that a bin may lack to be left alone
-MEMO_CHUNKS, MEMO_CHARS, GROUP_CHARS = 400_000, 48, 4_000_000
+MEMO_PIECES, MEMO_CHARS, GROUP_CHARS = 400_000, 48, 4_000_000
 
 _SPLIT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"\s |[ ]\s|\A\s|\s\Z")
+# Fixed value: how a byte-level vocabulary's texts are cut into words.
+WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes for themselves, others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Memo(dict):
+    """Ids of the pieces of text between single spaces, each with the space before it; None: not known by itself.
+
+    Two generations: when one is full it becomes the older one, from which
+    pieces that are met again are taken over.
+    """
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of, self.older = ids_of, {}
+
+    def __missing__(self, piece: str) -> bytes | None:
+        if len(self) >= MEMO_PIECES:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older[piece] if piece in self.older else self.ids_of(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Token ids of texts as little-endian bytes, four for each id; memoised by chunk within a worker."""
+    """Token ids of texts as little-endian bytes, four for each id; memoised within a worker."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.pattern = regex.compile(WORDS)
+        self.memo, self.inner = Memo(self._piece), Memo(self._token)
 
     @classmethod
     def of(cls, spec: str) -> "Encoder":
@@ -60,33 +94,38 @@ class Encoder:
             _ENCODERS[spec] = cls(spec)
         return _ENCODERS[spec]
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str]:
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes | None:
+        """Ids of a piece with a space before it; None if it starts or ends with white space, which spans borders."""
+        if piece.isalpha():
+            return self._token(" " + piece)
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if not piece.replace("\n", "").isprintable():
+            return self._whole(" " + piece)
+        first, *others = self.pattern.findall(" " + piece)
+        ids = self.memo[first[1:]] if first[1:].isalpha() else self._token(first)
+        return ids + b"".join(map(self.inner.__getitem__, others))
+
+    def _token(self, word: str) -> bytes:
+        """Ids of what the tokenizer treats as one word."""
+        word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if not text:
+            return b""
         if any(s in text for s in self.special):
-            return [text]
-        if _ODD.search(text):
-            return _SPLIT.split(text)
+            return self._whole(text)
         first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) if t else [] for t in texts]
-        new = list({c for chunks in cut for c in chunks if c not in self.memo})
-        found = dict(zip(new, self._encode(new)))
-        if len(self.memo) + len(found) > MEMO_CHUNKS:
-            self.memo = {}
-            found = {}
-            new = list({c for chunks in cut for c in chunks})
-            found = dict(zip(new, self._encode(new)))
-        self.memo.update(found)
-        out = [b"".join(map(self.memo.__getitem__, chunks)) for chunks in cut]
-        for c in new:  # long chunks are rarely met again
-            if len(c) > MEMO_CHARS:
-                del self.memo[c]
-        return out
+        if first and not first[-1].isspace():
+            try:
+                return self._whole(first) + b"".join(map(self.memo.__getitem__, rest))
+            except TypeError:  # a None among them
+                pass
+        return b"".join(map(self._whole, _SPLIT.split(text)))
 
 
 def cut_points(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -112,8 +151,8 @@ def token_pieces(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
                     chars += len(texts[upto] or "")
                     upto += 1
                 row, piece, start, length, ids = [], [], [], [], []
-                for i, b in enumerate(encoder.encode(texts[at:upto]), at):
-                    b += tail
+                for i in range(at, upto):
+                    b = encoder.encode(texts[i]) + tail
                     for k, (s, n) in enumerate(cut_points(len(b) // 4, capacity)):
                         row.append(i), piece.append(k), start.append(s), length.append(n)
                         ids.append(b[4 * s:4 * (s + n)])

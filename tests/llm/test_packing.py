@@ -24,11 +24,11 @@ def naive(text):
 def test_ids_equal_the_tokenizers(monkeypatch):
     encoder = P.Encoder(P.read_spec(PATH))
     rng = random.Random(3)
-    parts = ["a", "The", " ", "  ", "\n", "\t", "é", "1", "'s", ".", " ", " ", "\x1f", "😀", "zz"]
-    texts = TEXTS + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(3000)]
-    monkeypatch.setattr(P, "MEMO_CHUNKS", 500)
+    parts = ["a", "The", " ", "  ", "\n", "\t", "é", "1", "'s", ".", " ", " ", "\x1f", "😀", "zz", "ö", "&&&", "\u00a0", "\u200b", "²", "ǅ", "म", "ि", "\x00", "'", "ll"]
+    texts = TEXTS + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(6000)]
+    monkeypatch.setattr(P, "MEMO_PIECES", 500)
     for _ in range(2):  # the second time from the memo
-        got = encoder.encode(texts)
+        got = [encoder.encode(x) for x in texts]
         t = Tokenizer.from_file(PATH)
         for text, ids, want in zip(texts, got, t.encode_batch([x or "" for x in texts], add_special_tokens=False)):
             assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
