@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import chat, langid, mixing, packing, pii, quality, search, sharding
+from prefspark.llm import chat, jaccard, langid, mixing, packing, pii, quality, search, sharding
 from prefspark.llm.common import table
 from prefspark.llm.sql import ORACLE  # noqa: F401
 
@@ -20,6 +20,10 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   with_ids=False)
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.uniform_shuffle(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     text = F.coalesce("text", F.lit(""))
@@ -68,6 +72,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pack": op1_pack,
+    "op2_jaccard": op2_jaccard,
     "op3_shard": op3_shard,
     "op4_search": op4_search,
     "op6_chat": op6_chat,

@@ -102,5 +102,21 @@ select f.pair_id, coalesce(p.n, 0)::bigint n_prompt_turns, coalesce(p.t, '') pro
   case when has_c then coalesce(c.m, '') end chosen_mask, case when has_r then coalesce(r.m, '') end rejected_mask
 from f left join g p on p.pair_id = f.pair_id and p.part = 'p' left join g c on c.pair_id = f.pair_id and c.part = 'c'
   left join g r on r.pair_id = f.pair_id and r.part = 'r'
+""",
+    "op2_jaccard": r"""
+with recursive d as (
+  select row_number() over () id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+s as (
+  select distinct id, sh from (
+    select id, unnest(case when len(w) >= 4 then [array_to_string(w[i:i + 3], ' ') for i in range(1, len(w) - 2)]
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) sh from d)),
+n as (select id, count(*) n from s group by id),
+c as (select a.id x, b.id y, count(*) i from s a join s b on a.sh = b.sh and a.id < b.id group by a.id, b.id),
+l as (select x, y from c join n a on a.id = x join n b on b.id = y where 100 * i >= 85 * (a.n + b.n - i)),
+e as (select x, y from l union select y, x from l),
+r as (select id x, id y from d union select r.x, e.y from r join e on r.y = e.x),
+k as (select r.x id, min(d.doc_id) component_id from r join d on d.id = r.y group by r.x)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id from d left join n using (id) join k using (id)
 """,
 }
