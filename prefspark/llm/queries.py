@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import chat, jaccard, langid, mixing, packing, pii, quality, search, sharding
+from prefspark.llm import chat, hmm, jaccard, langid, mixing, packing, pii, quality, search, sharding
 from prefspark.llm.common import table
 from prefspark.llm.sql import ORACLE  # noqa: F401
 
@@ -36,6 +36,10 @@ def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_preferences(chat.last_turn_swapped(table(spark, sf_dir, "conversations")))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op2_jaccard": op2_jaccard,
     "op3_shard": op3_shard,
     "op4_search": op4_search,
+    "op5_hmm": op5_hmm,
     "op6_chat": op6_chat,
     "op7_langid": op7_langid,
     "op8_mix": op8_mix,
