@@ -1,4 +1,4 @@
-"""Column functions: pure expressions, evaluated inside whole-stage codegen."""
+"""Column functions: built-in Spark expressions, no Python in tasks."""
 
 from prefspark.functions.text import (  # noqa: F401
     clean_text, cut_at_stop, preview, py_strip, render_fewshot_prompt, turn_agg,

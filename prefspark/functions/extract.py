@@ -54,9 +54,13 @@ _SIGNED_NUMBER = r"[-+]?(?:\d*\.\d+|\d+)"
 
 
 def _normalize_number(col) -> Column:
-    """Decimal text with sign kept and no trailing zeros (for mode='normalized')."""
-    d = col.try_cast("decimal(38,10)")
-    return F.regexp_replace(F.regexp_replace(d.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    """Decimal text with sign kept, no leading or trailing zeros, any length (for mode='normalized')."""
+    body = F.ltrim(col, F.lit("+-"))
+    whole = F.ltrim(F.substring_index(body, ".", 1), F.lit("0"))
+    part = F.when(F.contains(body, F.lit(".")), F.rtrim(F.substring_index(body, ".", -1), F.lit("0"))).otherwise(F.lit(""))
+    text = F.concat(F.when(whole == "", F.lit("0")).otherwise(whole),
+                    F.when(part == "", F.lit("")).otherwise(F.concat(F.lit("."), part)))
+    return F.when(F.startswith(col, F.lit("-")) & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def parse_verdict(col) -> Column:

@@ -1,7 +1,8 @@
 """String and message-list expressions.
 
-All of these are built-in Spark expressions, so they stay JVM-side and
-fuse into the surrounding whole-stage-codegen span.
+All of these are built-in Spark expressions and stay JVM-side. The string
+functions are part of the surrounding generated code; ``filter`` with a lambda
+(in ``turn_text``) is evaluated outside it.
 """
 
 from __future__ import annotations
@@ -11,17 +12,14 @@ from pyspark.sql import functions as F
 
 from prefspark import constants as K
 
-_WS = K.PY_WHITESPACE_CLASS
-_STRIP_RE = rf"^{_WS}+|{_WS}+\z"
-
 
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
 def py_strip(col) -> Column:
-    """Python ``str.strip()``: removes all Unicode whitespace and \\x1c-\\x1f at both ends."""
-    return F.regexp_replace(_c(col), _STRIP_RE, "")
+    """Python ``str.strip()``: removes all Unicode whitespace and \\x1c-\\x1f at both ends, in linear time."""
+    return F.btrim(_c(col), F.lit(K.PY_WHITESPACE))
 
 
 def turn_text(msgs, role: str | None, which: str = "first", trim: bool = False,
@@ -30,7 +28,7 @@ def turn_text(msgs, role: str | None, which: str = "first", trim: bool = False,
 
     ``which``: "first" or "last". ``trim`` applies Python-style strip to the
     found content. ``default`` is returned when no message matches (or the
-    list itself is null). Uses ``try_element_at`` so an empty match is null
+    list itself is null), and for an empty content. Uses ``try_element_at`` so an empty match is null
     rather than an ANSI error.
     """
     arr = _c(msgs)
@@ -39,11 +37,14 @@ def turn_text(msgs, role: str | None, which: str = "first", trim: bool = False,
     idx = F.lit(1) if which == "first" else F.lit(-1)
     if which not in ("first", "last"):
         raise ValueError("which must be 'first' or 'last'")
-    content = F.try_element_at(arr, idx)["content"]
+    return _or_default(F.try_element_at(arr, idx)["content"], trim, default)
+
+
+def _or_default(content: Column, trim: bool, default: str | None) -> Column:
     if trim:
         content = py_strip(content)
     if default is not None:
-        content = F.coalesce(content, F.lit(default))
+        content = F.coalesce(F.nullif(content, F.lit("")), F.lit(default))
     return content
 
 
@@ -64,12 +65,7 @@ def turn_agg(role: str | None, which: str = "first", trim: bool = False,
         cond = cond & where
     order = F.when(cond, F.col(order_col))
     pick = F.min_by if which == "first" else F.max_by
-    content = pick(F.col(text_col), order)
-    if trim:
-        content = py_strip(content)
-    if default is not None:
-        content = F.coalesce(content, F.lit(default))
-    return content
+    return _or_default(pick(F.col(text_col), order), trim, default)
 
 
 def clean_text(col) -> Column:

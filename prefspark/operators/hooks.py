@@ -71,13 +71,13 @@ def map_responses(df: DataFrame, fn: Callable[[list], list] | None = None,
 def map_verdicts(df: DataFrame, fn: Callable[[str], str] | None = None,
                  prompt_col: str = "judge_prompt", out_col: str = "verdict_raw",
                  max_attempts: int = K.JUDGE_MAX_ATTEMPTS,
-                 backoff: Callable[[int], float] = lambda attempt: 0.0,
+                 backoff: Callable[[int], float] = lambda attempt: 2.0 ** attempt,
                  make_fn: Callable[[], Callable[[str], str]] | None = None,
                  concurrency: int = 1) -> DataFrame:
     """One call per row with retries; a row that still fails gets a null verdict.
 
     ``backoff(attempt)`` is the wait in seconds after a failed attempt
-    (``lambda a: 2 ** a`` for exponential backoff; 0 by default). The
+    (2 ** attempt by default). The
     answer is stripped. ``concurrency`` > 1 keeps that many calls in flight
     per task (for a network-bound judge); results stay in row order.
     """

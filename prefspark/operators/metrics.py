@@ -123,7 +123,8 @@ def true_mass(mc: DataFrame) -> DataFrame:
     Two levels of map-side aggregation, no row-level join: rows are summed
     per (question, band of ll) as exp(ll - band), which lies in [1, e^500);
     the few band rows of each question are then re-based to its top band.
-    A question with a third of all rows is combined like any other.
+    A question with a third of all rows is combined like any other. A question
+    whose scores are all -inf has no distribution and is left out of the mean.
     """
     band = F.floor(F.col("ll") / F.lit(_BAND)) * F.lit(_BAND)
     e = F.exp(F.col("ll") - F.col("_b"))
@@ -138,7 +139,7 @@ def true_mass(mc: DataFrame) -> DataFrame:
          .agg(F.sum(F.col("_t") * scale).alias("_t"), F.sum(F.col("_z") * scale).alias("_z")))
     return q.groupBy("subject").agg(
         F.count(F.lit(1)).alias("n_questions"),
-        F.avg(F.col("_t") / F.col("_z")).alias("mc2"))
+        F.avg(F.try_divide("_t", "_z")).alias("mc2"))
 
 
 def instruction_metrics(inst: DataFrame) -> DataFrame:

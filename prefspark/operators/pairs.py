@@ -210,14 +210,15 @@ def pairs(scored: DataFrame, strategy: str = "both", score_col: str = "score_dat
 
 
 def self_pair_order_keys(text_col: str = "chosen", seed: int = K.SELF_PAIR_SEED):
-    """The seeded order of D4: md5 of "seed:text", first 26 hex digits, as two exact longs."""
+    """The seeded order of D4: md5 of "seed:text", all 32 hex digits, as three exact longs."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(text_col), F.lit(""))))
     return h, _hash_keys(h)
 
 
 def _hash_keys(h: Column) -> list[Column]:
     return [F.conv(F.substring(h, 1, 13), 16, 10).cast("long"),
-            F.conv(F.substring(h, 14, 13), 16, 10).cast("long")]
+            F.conv(F.substring(h, 14, 13), 16, 10).cast("long"),
+            F.conv(F.substring(h, 27, 6), 16, 10).cast("long")]
 
 
 def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str = "chosen",

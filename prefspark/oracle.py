@@ -212,7 +212,7 @@ def _turns_sql(which: str, trim: bool, default: str) -> str:
         e = f"{agg}(text ORDER BY turn) FILTER (WHERE role = '{role}')"
         if trim:
             e = strip(e)
-        return f"coalesce({e}, {lit(default)})"
+        return f"coalesce(nullif({e}, ''), {lit(default)})"
     return (f"SELECT conv_id, {one('user')} AS user_text, {one('assistant')} AS assistant_text "
             f"FROM conversations GROUP BY conv_id")
 
@@ -271,7 +271,7 @@ def _d4() -> str:
     h = "md5('42:' || coalesce(chosen, ''))"
     return _with(FX_DOC) + f"""
 , h AS (SELECT *, {h} AS hk FROM fx_doc),
-r AS (SELECT *, row_number() OVER (ORDER BY substr(hk, 1, 26), id) - 1 AS rk FROM h),
+r AS (SELECT *, row_number() OVER (ORDER BY hk, id) - 1 AS rk FROM h),
 s AS (SELECT (SELECT count(*) FROM h) AS n,
              (SELECT max(c) FROM (SELECT count(*) AS c FROM h GROUP BY hk)) AS m)
 SELECT a.id, a.instruction, a.input, a.chosen, b.chosen AS rejected

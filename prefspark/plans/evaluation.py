@@ -30,7 +30,8 @@ def score_and_write(answers: DataFrame, path: str, mode: str = "exact") -> DataF
     return answers.sparkSession.read.parquet(f"{path.rstrip('/')}/metrics")
 
 
-def compare_subject_runs(spark: SparkSession, path: str, subjects=K.MMLU_SUBJECTS) -> DataFrame:
+def compare_subject_runs(spark: SparkSession, path: str, subjects=K.MMLU_SUBJECTS,
+                         layout: str = "documents") -> DataFrame:
     """S7 -> E4 -> E5: every run under ``path`` with its macro average, best first."""
-    acc = io.read_subject_results(spark, path)
+    acc = io.read_subject_results(spark, path, layout=layout)
     return metrics.compare_models(metrics.subject_macro_average(acc, subjects)).orderBy("position")

@@ -55,7 +55,9 @@ def _scores_with_gaps(spark, sf):
 
 
 def q_read_scores(spark, sf):
-    return io.normalize_scores(_scores_with_gaps(spark, sf))
+    path = scratch_path(spark, "score-file")
+    _scores_with_gaps(spark, sf).write.json(path)
+    return io.read_scores(spark, path)
 
 
 def q_write_scores(spark, sf):
@@ -78,7 +80,7 @@ def q_upsert_by_key(spark, sf):
 def q_read_subject_results(spark, sf):
     path = scratch_path(spark, "subjects")
     io.write_subject_results(FX.fx_subj(spark, sf), path)
-    return io.read_subject_results(spark, path)
+    return io.read_subject_results(spark, path, layout="long")
 
 
 def q_read_math_results(spark, sf):
@@ -98,9 +100,9 @@ def q_write_metrics(spark, sf):
 
 
 def q_read_prompts(spark, sf):
-    j = FX.fx_judge(spark, sf).select("idx", "instruction",
-                                       F.col("reference_output").alias("output"))
-    return io.read_prompts(spark, j)
+    path = scratch_path(spark, "prompts")
+    FX.fx_judge(spark, sf).select("idx", "instruction", F.col("reference_output").alias("output")).write.json(path)
+    return io.read_prompts(spark, path)
 
 
 # --- 2.2 projections and scalar functions ------------------------------------
@@ -370,7 +372,7 @@ def stub_judge(prompt: str) -> str:
 def q_map_verdicts(spark, sf):
     p = judge.judge_prompts(judge.judge_rows(FX.fx_judge(spark, sf)).drop("verdict_raw"))
     p = p.select("idx", "judge_prompt")
-    return hooks.map_verdicts(p, stub_judge).select("idx", "verdict_raw")
+    return hooks.map_verdicts(p, stub_judge, backoff=lambda attempt: 0.0).select("idx", "verdict_raw")
 
 
 QUERIES: dict[str, Query] = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,11 +31,18 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def _is_local(master: str) -> bool:
+    """Whether driver and executors are one process (``local-cluster`` is not)."""
+    return master == "local" or master.startswith("local[")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cutting folder.
 
-    Uses the folder the cluster names in ``spark.checkpoint.dir``; only when
-    that is unset (local runs, tests) a private temporary folder is created.
+    Uses the folder the cluster names in ``spark.checkpoint.dir``. Where that
+    is unset, a local master gets a private temporary folder, which is removed
+    when Python ends; any other master raises, because executors cannot read
+    the driver's folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -42,7 +51,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not configured:
+        if not _is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share "
+                               f"(master {sc.master})")
         configured = tempfile.mkdtemp(prefix="prefspark-ckpt-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

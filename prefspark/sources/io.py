@@ -6,10 +6,12 @@ Writers produce part files (JSON Lines or Parquet), never one document.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from prefspark.session import materialize
+
 MSG = "array<struct<role:string,content:string>>"
 PREF_SCHEMA = f"id bigint, prompt string, chosen {MSG}, rejected {MSG}"
 SCORED_SCHEMA = ("id bigint, instruction string, input string, chosen string, "
@@ -30,14 +32,24 @@ def _reader(spark: SparkSession, schema: str, fmt: str):
 
 
 def with_position_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Give rows read from id-less files (row position was the identity) a unique id.
+    """Dense positions 0..n-1, in file order, for rows read from id-less files.
 
-    ``monotonically_increasing_id`` is unique and follows file order within
-    each split; it depends only on the input files and split size, so every
-    re-read of the same files gives the same ids. Materialize the result if
-    the input may change.
+    ``df`` is a frame read from files. Files are taken by path, their blocks by
+    offset; a block's rows are contiguous in one task, so a row's position is
+    the number of rows in earlier blocks (one count per block, a bounded table)
+    plus its place in the block. The rows are written once, so that counting
+    and numbering see the same ones.
     """
-    return df.withColumn(id_col, F.monotonically_increasing_id())
+    rows = materialize(df.select(
+        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at")), "positions")
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    position = F.col("_before") + F.col("_at") - F.col("_first")
+    out = rows.join(blocks, ["_file", "_block"]).withColumn(id_col, position.cast("long"))
+    return out.select(*[c for c in df.columns if c != id_col], id_col).select(
+        *(df.columns if id_col in df.columns else [id_col, *df.columns]))
 
 
 PREF_LONG_SCHEMA = "id bigint, side string, turn bigint, role string, text string"
@@ -111,28 +123,29 @@ def _first_existing(spark: SparkSession, reader, candidates: list[str]) -> DataF
 SUBJECT_LONG_SCHEMA = "task string, acc double, label string"
 
 
-def read_subject_results(spark: SparkSession, path: str,
-                         file_name: str = "mmlu_results.json") -> DataFrame:
+def read_subject_results(spark: SparkSession, path: str, file_name: str = "mmlu_results.json",
+                         layout: str = "documents") -> DataFrame:
     """Subject results as (label, task, acc).
 
-    Reads result documents: ``path`` is a result file, a folder holding
-    ``file_name``, or a parent whose children each hold one (one level
-    down); the label is the parent folder's name and a task without
-    ``acc,none`` gives a null acc. When no such document exists, ``path`` is
-    read as the long layout ``write_subject_results`` produces
-    (``label=<x>/`` folders of (task, acc) rows).
+    documents: ``path`` is a result file, a folder holding ``file_name``, or a
+    parent whose children each hold one (one level down); the label is the
+    parent folder's name and a task without ``acc,none`` gives a null acc.
+    Raises when there is no such file.
+    long: what ``write_subject_results`` produces (``label=<x>/`` folders of
+    (task, acc) rows).
     """
     base = path.rstrip("/")
+    if layout == "long":
+        return spark.read.schema(SUBJECT_LONG_SCHEMA).json(base).select("label", "task", "acc")
+    if layout != "documents":
+        raise ValueError("layout must be 'documents' or 'long'")
 
     def reader(p):
         return (spark.read.schema(SUBJECT_FILE_SCHEMA).option("multiLine", True).json(p)
                 .select(F.col("_metadata.file_path").alias("_f"), "results"))
 
     cands = [base] if base.endswith(".json") else [f"{base}/{file_name}", f"{base}/*/{file_name}"]
-    try:
-        df = _first_existing(spark, reader, cands)
-    except FileNotFoundError:
-        return spark.read.schema(SUBJECT_LONG_SCHEMA).json(base).select("label", "task", "acc")
+    df = _first_existing(spark, reader, cands)
     label = F.regexp_extract("_f", r"([^/]+)/[^/]+$", 1)
     return df.select(label.alias("label"), F.explode("results").alias("task", "r")) \
         .select("label", "task", F.col("r")["acc,none"].alias("acc"))
@@ -156,10 +169,16 @@ def read_math_results(spark: SparkSession, path: str) -> DataFrame:
     base = path.rstrip("/")
     if base.endswith(".json"):
         doc = spark.read.schema(MATH_FILE_SCHEMA).option("multiLine", True).json(base)
-        return doc.select(F.explode("results").alias("r")).select("r.*")
+        return doc.select(F.posexplode("results").alias("idx", "r")).select(F.col("idx").cast("long").alias("idx"), "r.*")
     return spark.read.schema(MATH_ROW_SCHEMA).parquet(f"{base}/results")
 
 
+def read_math_document(spark: SparkSession, path: str) -> DataFrame:
+    """What a result document says about its run: (accuracy, correct, total, config)."""
+    doc = spark.read.schema(MATH_FILE_SCHEMA).option("multiLine", True).json(path)
+    return doc.select("accuracy", "correct", "total", "config")
+
+
 def read_prompts(spark: SparkSession, path_or_df, fmt: str = "json",
                  assign_ids: bool = False) -> DataFrame:
     """Prompts with their reference output; a missing output reads as "".
@@ -193,16 +212,40 @@ REGISTRY_SCHEMA = "key string, file_name string, ranking boolean, columns map<st
 DPO_COLUMNS = {"prompt": "instruction", "query": "input", "chosen": "chosen", "rejected": "rejected"}
 
 
-def read_registry(spark: SparkSession, path: str | None) -> DataFrame:
-    """S6 input: the dataset registry table; a missing table, or malformed lines, read as empty."""
+def read_registry(spark: SparkSession, path: str | None, layout: str = "object", on_invalid: str = "raise") -> DataFrame:
+    """S6 input: the dataset registry as rows (key, file_name, ranking, columns); a missing path is empty.
+
+    object: JSON documents, each one object keyed by dataset name, on any
+    number of lines. lines: what ``write_registry`` produces, an entry a line.
+    Invalid JSON raises; with ``on_invalid="empty"`` a registry that has any
+    is read as empty as a whole, so that no part of it is lost unnoticed.
+    """
+    if layout not in ("object", "lines") or on_invalid not in ("raise", "empty"):
+        raise ValueError("layout must be 'object' or 'lines', on_invalid 'raise' or 'empty'")
     empty = spark.createDataFrame([], REGISTRY_SCHEMA)
     if not path:
         return empty
     try:
-        return (spark.read.schema(REGISTRY_SCHEMA).option("mode", "DROPMALFORMED").json(path)
-                .filter(F.col("key").isNotNull()))
+        text = spark.read.text(path, wholetext=layout == "object").where(F.trim("value") != "")
     except AnalysisException:
         return empty
+    # an entry that does not parse is null, so it can be counted
+    entry = "struct<file_name:string,ranking:boolean,columns:map<string,string>>"
+    schema = f"map<string,{entry}>" if layout == "object" else REGISTRY_SCHEMA
+    parsed = text.select(F.from_json("value", schema).alias("r"), F.try_parse_json("value").alias("v"))
+    bad = F.col("r").isNull() | F.col("v").isNull() | ((F.lit(layout) == "lines") & F.try_variant_get("v", "$.key", "string").isNull())
+    if parsed.where(bad).limit(1).count():
+        if on_invalid == "raise":
+            raise ValueError(f"invalid registry entry under {path}")
+        return empty
+    if layout == "lines":
+        return parsed.select("r.*")
+    return parsed.select(F.explode("r").alias("key", "e")).select("key", "e.*")
+
+
+def write_registry(entries: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Registry rows as JSON Lines (``read_registry`` with ``layout="lines"``)."""
+    entries.select("key", "file_name", "ranking", "columns").write.mode(mode).json(path)
 
 
 def registry_entries(spark: SparkSession, entries: dict[str, str]) -> DataFrame:

@@ -150,7 +150,7 @@ def test_map_verdicts_retries_then_null(spark):
             if fn.calls < 3:
                 raise RuntimeError("y")
         return " 2 "
-    got = {r["idx"]: r["verdict_raw"] for r in hooks.map_verdicts(df, fn).collect()}
+    got = {r["idx"]: r["verdict_raw"] for r in hooks.map_verdicts(df, fn, backoff=lambda a: 0.0).collect()}
     assert got == {1: "2", 2: "2", 3: None}
 
 
@@ -158,8 +158,21 @@ def test_registry_upsert(spark, tmp_dir):
     from prefspark.operators.upsert import upsert_by_key
     assert io.read_registry(spark, f"{tmp_dir}/missing").count() == 0
     with open(f"{tmp_dir}/bad.json", "w") as f:
-        f.write("{not json\n")
-    assert io.read_registry(spark, f"{tmp_dir}/bad.json").count() == 0
+        f.write('{"key": "x", "file_name": "x.json"}\n{not json\n{"key": "y", "file_name": "y.json"}\n')
+    for layout in ("object", "lines"):
+        with pytest.raises(ValueError):
+            io.read_registry(spark, f"{tmp_dir}/bad.json", layout)
+        assert io.read_registry(spark, f"{tmp_dir}/bad.json", layout, on_invalid="empty").count() == 0
+    entry = {"file_name": "a.json", "ranking": True, "columns": dict(io.DPO_COLUMNS)}
+    with open(f"{tmp_dir}/registry.json", "w") as f:
+        json.dump({"a": entry, "b": {"file_name": "b.json"}}, f, indent=2)
+    got = {r["key"]: r for r in io.read_registry(spark, f"{tmp_dir}/registry.json").collect()}
+    assert got["a"]["columns"] == io.DPO_COLUMNS and got["a"]["ranking"] and got["b"]["file_name"] == "b.json"
+    io.write_registry(io.read_registry(spark, f"{tmp_dir}/registry.json"), f"{tmp_dir}/lines")
+    again = io.read_registry(spark, f"{tmp_dir}/lines", "lines")
+    assert sorted(map(str, again.collect())) == sorted(map(str, got.values()))
+    two = io.registry_entries(spark, {"z": "1"}).unionByName(io.registry_entries(spark, {"z": "2"}))
+    assert [r["file_name"] for r in upsert_by_key(None, two, "key").collect()] == ["2"]
     old = io.registry_entries(spark, {"a": "a.json", "b": "b.json"})
     new = io.registry_entries(spark, {"b": "b2.json", "c": "c.json"})
     got = {r["key"]: r["file_name"] for r in upsert_by_key(old, new, "key").collect()}
@@ -199,8 +212,7 @@ def test_id_less_score_file(spark, tmp_dir):
             f.write(json.dumps({"instruction": f"q{i}", "input": "", "chosen": f"c{i}",
                                 "rejected": f"c{i}", "score_datainf": s}) + "\n")
     df = io.read_scores(spark, p, assign_ids=True)
-    rows = df.collect()
-    assert len({r["id"] for r in rows}) == 3
+    assert {r["instruction"]: r["id"] for r in df.collect()} == {"q0": 0, "q1": 1, "q2": 2}
     from prefspark.operators.rank import rank_by_score
     ranked = {r["instruction"]: r["rank"] for r in rank_by_score(df).collect()}
     assert ranked == {"q2": 0, "q0": 1, "q1": 2}

@@ -21,10 +21,10 @@ def test_winrate_flow_resumes_and_reports(spark):
     def judge_fn(prompt):
         calls.add(1)
         return "1" if len(prompt) % 3 else "2"
-    first = winrate.judged_rows(prompts, outputs, judge_fn)
+    first = winrate.judged_rows(prompts, outputs, judge_fn, backoff=lambda a: 0.0)
     n = first.count()
     assert n == j.count() and calls.value == n
-    again = winrate.judged_rows(prompts, outputs, judge_fn, cache=first)
+    again = winrate.judged_rows(prompts, outputs, judge_fn, cache=first, backoff=lambda a: 0.0)
     assert again.count() == n and calls.value == n  # nothing re-judged
     report = winrate.winrate_report(again).first()
     assert report["n_examples"] == n and 0 <= report["lc_winrate"] <= 100
