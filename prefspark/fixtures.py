@@ -88,14 +88,14 @@ def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_scored(spark: SparkSession, sf_dir: str, ties: bool = False) -> DataFrame:
-    """Score rows: FX-grad scores joined to documents; ``ties`` uses doc_id % 11 instead."""
+    """Score rows: every document with its FX-grad score (0.0 without one); ``ties`` uses doc_id % 11 instead."""
     d = table(spark, sf_dir, "documents")
     s = fx_scores(spark, sf_dir)
-    j = s.join(d, s["id"] == d["doc_id"])
-    score = (F.col("doc_id") % 11).cast("double") if ties else F.col("score")
+    j = d.join(s, s["id"] == d["doc_id"], "left")
+    score = (F.col("doc_id") % 11).cast("double") if ties else F.coalesce("score", F.lit(0.0))
     return j.select(
-        F.col("id"),
-        F.concat(F.lit("Summarise document "), F.col("id").cast("string")).alias("instruction"),
+        F.col("doc_id").alias("id"),
+        F.concat(F.lit("Summarise document "), F.col("doc_id").cast("string")).alias("instruction"),
         F.lit("").alias("input"),
         F.col("text").alias("chosen"),
         F.col("text").alias("rejected"),

@@ -45,11 +45,15 @@ def mean_vector(val: DataFrame, grad_col: str = "grad") -> DataFrame:
 
 
 def mean_vector_row(val: DataFrame, grad_col: str = "grad") -> DataFrame:
-    """I1 as one row ``v ARRAY<DOUBLE>`` (dimension-sized, not data-sized); errors on no rows."""
-    # No gradient at all is an error; a limit(1) probe stops at the first row found.
-    if val.filter(F.col(grad_col).isNotNull()).limit(1).count() == 0:
-        raise ValueError("mean_vector: no gradients in validation set")
-    return _vector_mean(val, grad_col).select("v")
+    """I1 as one row ``v ARRAY<DOUBLE>`` (dimension-sized, not data-sized); no gradient at all is an error when run."""
+    mean = _vector_mean(val.withColumn("_all", F.lit(1)), grad_col, by="_all")  # no row at all without gradients
+    one = val.sparkSession.range(1).join(mean, F.lit(True), "left")
+    return one.select(_or_error("v", F.col("v").isNotNull(), "mean_vector: no gradients in validation set").alias("v"))
+
+
+def _or_error(value, ok, message: str):
+    """``value`` where ``ok`` holds, an error at run time elsewhere."""
+    return F.when(ok, F.col(value)).otherwise(F.raise_error(F.lit(message)))
 
 
 def damping(train: DataFrame, grad_col: str = "grad", divisor: float = K.DAMPING_DIVISOR) -> DataFrame:
@@ -62,16 +66,20 @@ def damping(train: DataFrame, grad_col: str = "grad", divisor: float = K.DAMPING
 
 
 def influence_scores(train: DataFrame, val: DataFrame, id_col: str = "id", grad_col: str = "grad",
-                     divisor: float = K.DAMPING_DIVISOR) -> DataFrame:
+                     divisor: float = K.DAMPING_DIVISOR, max_broadcast_bytes: int = 512 * 2**20) -> DataFrame:
     """(id, score). Rows without a gradient score 0.0; lambda = 0 gives null.
 
-    The mean vector travels as one broadcast row; for gradients too wide for
-    that (hundreds of MB), store them in slices and use
+    The mean vector is written once and travels as one broadcast row; above
+    ``max_broadcast_bytes`` this raises: store such gradients in slices and use
     ``influence_scores_blocked``.
     """
-    v = mean_vector_row(val, grad_col)
+    v = materialize(mean_vector_row(val, grad_col), "mean-vector")
     lam = damping(train, grad_col, divisor).scalar()  # scalar subquery, evaluated once
-    # v is one row of dimension size: broadcast once per executor (not per task).
+    # v is one written row of dimension size: broadcast once per executor, if it is as small as that takes.
+    width = v.select(F.size("v")).first()[0]
+    if width * 8 > max_broadcast_bytes:
+        raise ValueError("influence_scores: gradients are too wide to broadcast their mean; "
+                         "store slices and use influence_scores_blocked")
     x = train.select(id_col, grad_col).crossJoin(F.broadcast(v))
     g = F.col(grad_col)
     score = F.try_divide(dot(g, F.col("v")), lam + sq_norm(g))
@@ -81,14 +89,16 @@ def influence_scores(train: DataFrame, val: DataFrame, id_col: str = "id", grad_
 def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: str = "split",
                              block_col: str = "block_id", vals_col: str = "vals",
                              divisor: float = K.DAMPING_DIVISOR,
-                             max_broadcast_bytes: int = 512 * 2**20) -> DataFrame:
+                             max_broadcast_bytes: int = 512 * 2**20, salts: int = 64) -> DataFrame:
     """I4: the I3 result for gradients stored as (id, split, block_id, vals) slices.
 
     g.v and |g|^2 add up over blocks, so no row ever holds the whole gradient.
     The validation mean is computed per block (one vector buffer per task and
     block), written once and broadcast to the training blocks when it fits
     ``max_broadcast_bytes`` (its size is the model dimension, not the data);
-    above that the planner joins on block_id. A training id whose only block
+    above that the mean is copied ``salts`` times and the training blocks join
+    on (block_id, salt), so a block's rows spread over that many tasks. No
+    gradient at all in either split is an error. A training id whose only block
     row has null vals scores 0.0.
     """
     val = blocks.filter((F.col(split_col) == "val") & F.col(vals_col).isNotNull())
@@ -99,15 +109,23 @@ def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: s
     # is never shuffled by block; above it the planner's join takes over.
     vmean = materialize(vmean, "mean-blocks")
     dim = vmean.agg(F.sum(F.size("vb"))).first()[0] or 0
+    if not dim:
+        raise ValueError("influence_scores_blocked: no gradients in validation set")
+    keys = [block_col]
     if dim * 8 <= max_broadcast_bytes:
         vmean = F.broadcast(vmean)
-    per_block = (train.join(vmean, block_col, "left")
+    else:
+        keys = [block_col, "_salt"]
+        vmean = vmean.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        train = train.withColumn("_salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
+    per_block = (train.join(vmean, keys, "left")
                  .select(id_col,
                          dot(vals_col, "vb").alias("gv"),
                          sq_norm(vals_col).alias("gg")))
     per_id = per_block.groupBy(id_col).agg(F.sum("gv").alias("gv"), F.sum("gg").alias("gg"))
-    lam = per_id.filter(F.col("gg").isNotNull()).agg(
-        (F.avg("gg") / F.lit(float(divisor))).alias("lam")).scalar()
+    mean = per_id.agg((F.avg("gg") / F.lit(float(divisor))).alias("lam"), F.count("gg").alias("n"))
+    lam = mean.select(_or_error("lam", F.col("n") > 0, "influence_scores_blocked: no gradients in training set")
+                      .alias("lam")).scalar()
     score = F.try_divide(F.col("gv"), lam + F.col("gg"))
     return per_id.select(F.col(id_col),
                     F.when(F.col("gg").isNull(), F.lit(0.0)).otherwise(score).alias("score"))

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-import uuid
 from typing import Callable
 
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -90,83 +91,24 @@ def raw_winrate(judged: DataFrame) -> DataFrame:
                      * F.lit(100.0)).alias("raw_winrate"))
 
 
-def _logit_pass_sql(view: str, feats: list[str]) -> str:
-    """SQL for one pass: log-loss, gradient and Hessian sums at parameters :w0.. (scaled by :s0..)."""
-    d = len(feats) + 1
-    xs = ", ".join(f"`{c}` / :s{j} AS x{j}" for j, c in enumerate(feats)) + f", 1.0D AS x{d - 1}"
-    z = " + ".join(f":w{j} * x{j}" for j in range(d))
-    sums = ["sum(log1p(exp(-abs(z))) + greatest(z, 0.0D) - label * z) AS f"]
-    sums += [f"sum((p - label) * x{j}) AS g{j}" for j in range(d)]
-    sums += [f"sum(p * (1.0D - p) * x{j} * x{k}) AS h{j}_{k}" for j in range(d) for k in range(j, d)]
-    return (f"SELECT {', '.join(sums)} FROM ("
-            f"SELECT *, 1.0D / (1.0D + exp(-z)) AS p FROM ("
-            f"SELECT *, {z} AS z FROM (SELECT label, {xs} FROM {view})))")
-
-
-def _logit_pass(spark, sql: str, d: int, scale: list[float], w) -> tuple:
-    """One aggregate over the rows (partial sums per partition) at ``w``; returns f, g, H."""
-    import numpy as np
+def fit_penalised_logit(data: DataFrame, feats: list[str], reg_c: float = 1.0,
+                        max_iter: int = 1000, tol: float = 1e-15) -> tuple[list[float], float]:
+    """L2-penalised logistic fit (penalty |w|^2 / (2C) on raw coefficients, intercept free) of ``label``.
 
-    args = {f"w{j}": float(w[j]) for j in range(d)}
-    args.update({f"s{j}": float(sc) for j, sc in enumerate(scale)})
-    r = spark.sql(sql, args=args).first()
-    g = np.array([r[f"g{j}"] for j in range(d)])
-    h = np.zeros((d, d))
-    for j in range(d):
-        for k in range(j, d):
-            h[j, k] = h[k, j] = r[f"h{j}_{k}"]
-    return float(r["f"]), g, h
+    Spark ML's logistic regression averages the loss, so its penalty is
+    1 / (C n); it scales the features internally. Raises when the iterations
+    run out.
+    """
+    n = data.count()
+    x = VectorAssembler(inputCols=feats, outputCol="features").transform(data)
+    fit = LogisticRegression(regParam=1.0 / (reg_c * n), elasticNetParam=0.0, standardization=False, tol=tol,
+                             maxIter=max_iter, family="binomial").fit(x)
+    if fit.summary.totalIterations >= max_iter:
+        raise RuntimeError(f"the logistic fit did not converge in {max_iter} iterations")
+    return [float(c) for c in fit.coefficients], float(fit.intercept)
 
 
-def fit_penalised_logit(data: DataFrame, feats: list[str], reg_c: float = 1.0,
-                        max_iter: int = 100, tol: float = 1e-12) -> tuple[list[float], float]:
-    """L2-penalised logistic fit (penalty |w|^2 / (2C) on raw coefficients, intercept free).
-
-    Damped Newton: each iteration is one aggregate of the loss, gradient and
-    Hessian over the rows (partial sums per partition, a (d+1)^2 result), and
-    a (d+1)-sized solve on the driver. Features are scaled by their largest
-    magnitude inside the solve only, so a squared length term of 1e10 does not
-    wreck the conditioning; the penalty is mapped so the optimum is that of
-    the unscaled problem.
-    """
-    import numpy as np
-
-    mx = data.agg(*[F.max(F.abs(F.col(c))).alias(c) for c in feats]).first()
-    scale = [float(mx[c]) if mx[c] else 1.0 for c in feats]
-    d = len(feats) + 1
-    pen = np.zeros((d, d))
-    for j, sc in enumerate(scale):
-        pen[j, j] = 1.0 / (reg_c * sc * sc)
-    spark = data.sparkSession
-    view = f"_prefspark_logit_{uuid.uuid4().hex}"
-    data.createOrReplaceTempView(view)
-    sql = _logit_pass_sql(view, feats)
-    w = np.zeros(d)
-    f, g, h = _logit_pass(spark, sql, d, scale, w)
-    f += 0.5 * w @ pen @ w
-    for _ in range(max_iter):
-        step = np.linalg.solve(h + pen, g + pen @ w)
-        if np.max(np.abs(step)) <= tol * (1.0 + np.max(np.abs(w))):
-            w = w - step  # converged: the last full step needs no further pass
-            break
-        t = 1.0
-        while True:
-            w_new = w - t * step
-            f_new, g_new, h_new = _logit_pass(spark, sql, d, scale, w_new)
-            f_new += 0.5 * w_new @ pen @ w_new
-            if f_new <= f + 1e-12 * abs(f) or t < 1e-8:
-                break
-            t /= 2
-        done = np.max(np.abs(w_new - w)) <= tol * (1.0 + np.max(np.abs(w)))
-        w, f, g, h = w_new, f_new, g_new, h_new
-        if done:
-            break
-    spark.catalog.dropTempView(view)
-    coefs = [float(w[j] / scale[j]) for j in range(len(feats))]
-    return coefs, float(w[-1])
-
-
-def lc_winrate(judged: DataFrame, reg_c: float = 1.0, max_iter: int = 100) -> DataFrame:
+def lc_winrate(judged: DataFrame, reg_c: float = 1.0, max_iter: int = 1000) -> DataFrame:
     """Length-controlled win rate from an L2 logistic fit (C = ``reg_c``).
 
     Fits win ~ length_diff + length_diff^2 + log1p(model_len) +

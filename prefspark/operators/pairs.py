@@ -62,7 +62,8 @@ def _pair_up(ranked: DataFrame, plans: list[tuple[str | None, Column]], rank_col
 _BLOCK = 64  # ranks per neighbour-pair block (bounds the rows gathered per group)
 
 
-def _pair_blocks(ranked: DataFrame, strategies: list[str], block: int = _BLOCK) -> DataFrame:
+def _pair_blocks(ranked: DataFrame, strategies: list[str], block: int = _BLOCK,
+                 upper_half: bool = False) -> DataFrame:
     """Mirror and neighbour pairs with each text shuffled about once per strategy.
 
     Mirror pairs: ranks r and n-1-r meet in group least(r, n-1-r) (one or two
@@ -70,15 +71,17 @@ def _pair_blocks(ranked: DataFrame, strategies: list[str], block: int = _BLOCK)
     ranks, and the first rank of each block is also copied to the block
     before it (rank 0 to the last block, ordered after n-1), so rank r finds
     r+1 mod n in its own group. Groups hold at most block+1 rows, and all
-    strategies share one exchange.
+    strategies share one exchange. ``upper_half`` emits only mirror pairs with
+    r < n-1-r.
     """
     r, n = F.col("rank"), F.col("_n")
+    emits = 2 * r + 1 < n if upper_half else F.lit(True)
     body = [r.alias("r"), F.col("instruction").alias("i"), F.col("input").alias("n"),
             F.col("chosen").alias("c")]
     recs = []
     if "symmetric" in strategies:
         recs.append(F.struct(F.lit("symmetric").alias("s"), F.least(r, n - 1 - r).alias("k"),
-                             r.alias("v"), F.lit(True).alias("own"), *body))
+                             r.alias("v"), emits.alias("own"), *body))
     if "next_neighbor" in strategies:
         blk = F.floor(r / F.lit(block))
         last = F.floor((n - 1) / F.lit(block))
@@ -153,8 +156,13 @@ def _next_giver() -> Column:
     return F.pmod(F.col("rank") - 1, F.col("_n"))
 
 
+def ranked_records(records: DataFrame, keys: DataFrame, score_col: str, id_col: str = "id") -> DataFrame:
+    """Ranked rows of ``records`` (the wide side) by the scores in ``keys`` (id, score), for ``ranked=``."""
+    return _ranked(records, score_col, id_col, keys=keys)
+
+
 def _ranked(scored: DataFrame, score_col: str, id_col: str,
-            materialize_keys: bool = True) -> DataFrame:
+            materialize_keys: bool = True, keys: DataFrame | None = None) -> DataFrame:
     """Ranked rows with their payload.
 
     Only the narrow (id, score) table is ranked; with ``materialize_keys`` it
@@ -162,7 +170,7 @@ def _ranked(scored: DataFrame, score_col: str, id_col: str,
     read two columns and a score computed upstream is never re-evaluated
     between them. The payload joins the ranked ids once.
     """
-    keys = scored.select(F.col(id_col).alias("_id"), F.col(score_col).alias("_s"))
+    keys = (scored if keys is None else keys).select(F.col(id_col).alias("_id"), F.col(score_col).alias("_s"))
     if materialize_keys:
         keys = materialize(keys, "rank-keys")
     ranked = rank_by_score(keys, score_col="_s", id_col="_id", total_col="_n")
@@ -183,12 +191,7 @@ def symmetric_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col:
     if keep not in ("all", "upper_half"):
         raise ValueError("keep must be 'all' or 'upper_half'")
     r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
-    out = _pair_blocks(r, ["symmetric"])
-    if keep == "upper_half":
-        # pair i is kept when i < n-1-i, i.e. 2i + 1 < n
-        n = r.agg(F.max("_n").alias("_nn")).scalar()
-        out = out.filter(2 * F.col("rank") + 1 < n)
-    return out.select(*_OUT)
+    return _pair_blocks(r, ["symmetric"], upper_half=keep == "upper_half").select(*_OUT)
 
 
 def next_neighbor_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col: str = "id",

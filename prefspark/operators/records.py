@@ -60,14 +60,16 @@ def conversion_report(pref: DataFrame, id_col: str = "id") -> DataFrame:
 
 def attach_scores(pref: DataFrame, scores: DataFrame, id_col: str = "id",
                   score_col: str = "score") -> DataFrame:
-    """Score table rows for every record; a record without a score gets 0.0.
+    """Score table rows for every record; a record without a score row gets 0.0.
+
+    A score that is null in its row (undefined) stays null.
 
     instruction = first user turn of chosen, chosen = its first assistant
     turn (both raw, "" when absent), rejected = chosen (a placeholder).
     """
     rec = record_turns(pref, False, id_col).select(id_col, "instruction", "chosen")
-    j = rec.join(scores.select(F.col(id_col), F.col(score_col).alias("_s")), id_col, "left")
+    j = rec.join(scores.select(F.col(id_col), F.col(score_col).alias("_s"), F.lit(True).alias("_scored")), id_col, "left")
     return j.select(
         F.col(id_col), "instruction", F.lit("").alias("input"), "chosen",
         F.col("chosen").alias("rejected"),
-        F.coalesce(F.col("_s"), F.lit(0.0)).alias("score_datainf"))
+        F.when(F.col("_scored"), F.col("_s")).otherwise(F.lit(0.0)).alias("score_datainf"))

@@ -110,9 +110,9 @@ fx_scores AS (SELECT id, round(score, 9) AS score FROM fx_scores_raw)"""
 
 FX_SCORED = FX_GRAD + """,
 fx_scored AS (
-  SELECT s.id, 'Summarise document ' || s.id AS instruction, '' AS input,
-         d.text AS chosen, d.text AS rejected, s.score AS score_datainf
-  FROM fx_scores s JOIN documents d ON d.doc_id = s.id),
+  SELECT d.doc_id AS id, 'Summarise document ' || d.doc_id AS instruction, '' AS input,
+         d.text AS chosen, d.text AS rejected, coalesce(s.score, 0.0::DOUBLE) AS score_datainf
+  FROM documents d LEFT JOIN fx_scores s ON d.doc_id = s.id),
 fx_scored_ties AS (
   SELECT id, instruction, input, chosen, rejected, CAST(id % 11 AS DOUBLE) AS score_datainf
   FROM fx_scored)"""
@@ -287,6 +287,53 @@ FROM fx_scored WHERE score_datainf IS NOT NULL AND NOT isnan(score_datainf)
 ORDER BY score_datainf {o}, id LIMIT 3"""
 
 
+def _lc_winrate(steps: int = 12) -> str:
+    """The penalised logistic fit as a chain of Newton steps, each with its 5 x 5 elimination spelled out.
+
+    Features are divided by their largest magnitude; the penalty is that of the raw coefficients.
+    """
+    d = 5
+    feats = ["length_diff::DOUBLE", "length_diff::DOUBLE * length_diff::DOUBLE",
+             "ln(1 + model_len::DOUBLE)", "ln(1 + ref_len::DOUBLE)"]
+    ctes = [FX_JUDGE,
+            "lf AS (SELECT CASE WHEN model_win THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y, "
+            + ", ".join(f"{e} AS f{j}" for j, e in enumerate(feats)) + " FROM fx_judged)",
+            "sc AS MATERIALIZED (SELECT " + ", ".join(f"max(abs(f{j})) AS s{j}" for j in range(4))
+            + ", avg(f2) AS m2, avg(f3) AS m3, count(*) AS n, sum(y) AS wins FROM lf)",
+            "xs AS MATERIALIZED (SELECT y, " + ", ".join(f"f{j} / s{j} AS x{j}" for j in range(4))
+            + ", 1.0::DOUBLE AS x4 FROM lf, sc)",
+            "w_0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS w{j}" for j in range(d)) + ")"]
+    for k in range(steps):
+        z = " + ".join(f"w{j} * x{j}" for j in range(d))
+        ws = ", ".join(f"w{j}" for j in range(d))
+        ctes.append(f"p_{k} AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + exp(-({z}))) AS p FROM xs, w_{k})")
+        pen = [f"1.0::DOUBLE / (s{j} * s{j})" if j < 4 else "0.0::DOUBLE" for j in range(d)]
+        sums = [f"sum(p * (1 - p) * x{i} * x{j}) AS a{i}{j}" for i in range(d) for j in range(i, d)]
+        sums += [f"sum((p - y) * x{j}) AS b{j}" for j in range(d)]
+        ctes.append(f"h_{k} AS MATERIALIZED (SELECT {', '.join(sums)}, {', '.join(f'first(w{j}) AS w{j}' for j in range(d))} FROM p_{k})")
+        cols = [f"a{min(i, j)}{max(i, j)}" + (f" + {pen[i]}" if i == j else "") + f" AS a{i}{j}" for i in range(d) for j in range(d)]
+        cols += [f"b{j} + w{j} * {pen[j]} AS b{j}" for j in range(d)]
+        ctes.append(f"e_{k}_0 AS MATERIALIZED (SELECT {', '.join(cols)}, {ws} FROM h_{k}, sc)")
+        for c in range(d):  # eliminate column c from the rows below
+            cols = []
+            for i in range(d):
+                factor = f"a{i}{c} / a{c}{c}"
+                cols += [f"a{i}{j} - {factor} * a{c}{j} AS a{i}{j}" if i > c else f"a{i}{j}" for j in range(d)]
+                cols.append(f"b{i} - {factor} * b{c} AS b{i}" if i > c else f"b{i}")
+            ctes.append(f"e_{k}_{c + 1} AS MATERIALIZED (SELECT {', '.join(cols)}, {ws} FROM e_{k}_{c})")
+        source = f"e_{k}_{d}"
+        for i in reversed(range(d)):  # back substitution
+            rest = "".join(f" - a{i}{j} * t{j}" for j in range(i + 1, d))
+            ctes.append(f"t_{k}_{i} AS MATERIALIZED (SELECT *, (b{i}{rest}) / a{i}{i} AS t{i} FROM {source})")
+            source = f"t_{k}_{i}"
+        ctes.append(f"w_{k + 1} AS MATERIALIZED (SELECT " + ", ".join(f"w{j} - t{j} AS w{j}" for j in range(d)) + f" FROM {source})")
+    return _with(*ctes) + f"""
+SELECT (wins / n::DOUBLE) * 100.0::DOUBLE AS raw_winrate,
+       round(100.0::DOUBLE / (1.0::DOUBLE + exp(-(w4 + w2 / s2 * m2 + w3 / s3 * m3))), 6) AS lc_winrate,
+       n AS n_examples, wins::BIGINT AS n_wins
+FROM w_{steps}, sc"""
+
+
 ORACLE: dict[str, str] = {
     # 2.1
     "read_preferences": _with(FX_PREF_FLAT) + """
@@ -375,8 +422,8 @@ SELECT id, row_number() OVER (ORDER BY score_datainf DESC NULLS LAST, id) - 1 AS
     "self_pairs_random": _d4(),
     "influence_pairs": _with(FX_GRAD, FX_DOC) + """
 , fx_flow AS (
-  SELECT d.id, d.instruction, d.input, d.chosen, s.score AS score_datainf
-  FROM fx_doc d JOIN fx_scores_raw s USING (id)),
+  SELECT d.id, d.instruction, d.input, d.chosen, coalesce(s.score, 0.0::DOUBLE) AS score_datainf
+  FROM fx_doc d LEFT JOIN fx_scores_raw s USING (id)),
 """ + _PAIR_RANKED.format(src="fx_flow") + "\n"
     + _pair_select(_SYM, "symmetric") + "\nUNION ALL\n" + _pair_select(_NEXT, "next_neighbor"),
     "pairs": _with(FX_SCORED, _PAIR_RANKED.format(src="fx_scored_ties"))
@@ -429,6 +476,7 @@ FROM a""",
 SELECT count(*) AS n_examples, count(*) FILTER (WHERE model_win) AS n_wins,
        ((count(*) FILTER (WHERE model_win))::DOUBLE / count(*)::DOUBLE) * 100.0::DOUBLE AS raw_winrate
 FROM fx_judged""",
+    "lc_winrate": _lc_winrate(),
     "judging_report": _with(FX_JUDGE) + f"""
 SELECT count(*) AS total,
        count(*) FILTER (WHERE {parse_verdict('verdict_raw')} IS NOT NULL) AS judged,

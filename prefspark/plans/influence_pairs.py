@@ -1,7 +1,7 @@
 """Flow A: gradients -> influence scores -> global rank -> preference pairs.
 
-One scan of the validation gradients (mean vector), one of the training
-gradients (damping and scores share it). Only the narrow (id, score) table
+One scan of the validation gradients (mean vector) and two of the training
+gradients (damping, scores). Only the narrow (id, score) table
 is ranked: ``pairs`` writes it once (float sums must not be recomputed
 between the rank's counting and numbering passes) and the rank's extra
 passes read just those columns. Texts join the ranked ids once, then one
@@ -23,19 +23,20 @@ def influence_pairs(records: DataFrame, train: DataFrame, val: DataFrame,
 
     ``records``: id, instruction, chosen (and optionally input).
     """
-    s = influence.influence_scores(train, val, id_col=id_col)
-    scored = records.join(s, id_col, "left").withColumn(
-        "score_datainf", F.coalesce(F.col("score"), F.lit(0.0)))
-    return pairs.pairs(scored, strategy, id_col=id_col)
+    s = influence.influence_scores(train, val, id_col=id_col).withColumn("_scored", F.lit(True))
+    # Narrow: every record's id with its score; without a score row it is 0.0, an undefined score stays null.
+    keys = records.select(id_col).join(s, id_col, "left").select(
+        id_col, F.when(F.col("_scored"), F.col("score")).otherwise(F.lit(0.0)).alias("score_datainf"))
+    ranked = pairs.ranked_records(records, keys, "score_datainf", id_col)
+    return pairs.pairs(records, strategy, id_col=id_col, ranked=ranked)
 
 
 def influence_pairs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship query over the given tables (embeddings as gradients, documents as texts).
 
-    Records are the documents that have a gradient row (train split).
+    Every document is a record; one without a gradient row (train split) scores 0.0.
     """
     g = FX.fx_grad(spark, sf_dir)
     train = g.filter(F.col("split") == "train")
     val = g.filter(F.col("split") == "val")
-    docs = FX.fx_doc(spark, sf_dir).join(train.select("id"), "id", "left_semi")
-    return influence_pairs(docs, train, val, "both")
+    return influence_pairs(FX.fx_doc(spark, sf_dir), train, val, "both")

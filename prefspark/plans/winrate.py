@@ -1,7 +1,8 @@
 """Flow B: prompts + model outputs -> resumable judging -> win rates.
 
 Judge calls are the expensive, non-repeatable step, so the judged rows are
-written once (under the checkpoint folder) before any metric reads them.
+written before any metric reads them: once, under the checkpoint folder, or
+slice by slice under a cache path that outlives the run.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from prefspark.operators import hooks, judge
 from prefspark.session import materialize
@@ -18,12 +20,18 @@ from prefspark.sources import io
 
 def judged_rows(prompts: DataFrame, model_outputs: DataFrame, judge_fn: Callable[[str], str],
                 cache: DataFrame | None = None, max_attempts: int = 5,
-                backoff: Callable[[int], float] = lambda a: 0.0, concurrency: int = 1) -> DataFrame:
+                backoff: Callable[[int], float] = lambda a: 2.0 ** a, concurrency: int = 1,
+                cache_path: str | None = None, slice_rows: int = 10_000) -> DataFrame:
     """Judgment records for every prompt; cached ones are reused, failures stay pending.
 
     prompts: (idx, instruction, output); model_outputs: (idx, model_output).
+    With ``cache_path`` (a shared folder that the caller keeps) pending rows
+    are judged in slices of about ``slice_rows``, each appended there as soon
+    as it is done: a run that breaks off loses one slice of calls at most, and
+    the next run, in any session, goes on from there.
     """
-    p = io.read_prompts(prompts.sparkSession, prompts)
+    spark = prompts.sparkSession
+    p = io.read_prompts(spark, prompts)
     rows = p.join(model_outputs.select("idx", "model_output"), "idx").select(
         "idx", "instruction", "model_output", F.col("output").alias("reference_output"))
 
@@ -33,13 +41,30 @@ def judged_rows(prompts: DataFrame, model_outputs: DataFrame, judge_fn: Callable
                                       backoff=backoff, concurrency=concurrency)
         return judge.judgments(answered)
 
-    if cache is None:
-        cache = prompts.sparkSession.createDataFrame([], judge.judge_rows(
-            rows.withColumn("verdict_raw", F.lit(None).cast("string"))).select(
-                *judge.JUDGMENT_COLS).schema)
-    return materialize(judge.resume_judging(rows, cache, call_judge), "judgments")
+    empty = spark.createDataFrame([], judge.judge_rows(
+        rows.withColumn("verdict_raw", F.lit(None).cast("string"))).select(*judge.JUDGMENT_COLS).schema)
+    cache = empty if cache is None else cache.select(*judge.JUDGMENT_COLS)
+    if cache_path is None:
+        return materialize(judge.resume_judging(rows, cache, call_judge), "judgments")
+    known = cache.unionByName(_judgments_under(cache_path, empty))
+    pending = materialize(rows.join(known.select("idx"), "idx", "left_anti"), "pending")
+    slices = -(-pending.count() // slice_rows)
+    for k in range(slices):
+        part = pending.where(F.pmod(F.xxhash64("idx"), F.lit(slices)) == k)
+        call_judge(part).select(*judge.JUDGMENT_COLS).write.mode("append").parquet(cache_path)
+    done = cache.join(_judgments_under(cache_path, empty).select("idx"), "idx", "left_anti").unionByName(
+        _judgments_under(cache_path, empty))
+    return done.join(rows.select("idx"), "idx", "left_semi")
+
+
+def _judgments_under(path: str, empty: DataFrame) -> DataFrame:
+    try:
+        return empty.sparkSession.read.schema(empty.schema).parquet(path)
+    except AnalysisException:  # nothing judged yet
+        return empty
 
 
 def winrate_report(judged: DataFrame) -> DataFrame:
-    """One row: raw and length-controlled win rates with the fit's coefficients."""
-    return judge.lc_winrate(judged)
+    """One row: raw and length-controlled win rates to 2 decimals, with the fit's coefficients."""
+    r = judge.lc_winrate(judged)
+    return r.withColumns({c: F.round(c, 2) for c in ("raw_winrate", "lc_winrate")})

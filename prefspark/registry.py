@@ -335,7 +335,8 @@ def q_raw_winrate(spark, sf):
 
 
 def q_lc_winrate(spark, sf):
-    return judge.lc_winrate(judge.judgments(FX.fx_judge(spark, sf)))
+    r = judge.lc_winrate(judge.judgments(FX.fx_judge(spark, sf)))
+    return r.select("raw_winrate", F.round("lc_winrate", 6).alias("lc_winrate"), "n_examples", "n_wins")
 
 
 def q_judging_report(spark, sf):

@@ -50,3 +50,39 @@ def test_no_validation_gradient_raises(spark):
         mean_vector_row(val).collect()
     with pytest.raises(Exception, match="no gradients"):
         damping(val).collect()
+
+
+def _slices(rows):
+    return [(i, split, b, v) for i, split, g in rows for b, v in (enumerate([g[:2], g[2:]]) if g else [(None, None)])]
+
+
+BLOCKS = "id long, split string, block_id int, vals array<double>"
+GRADS = [(1, "train", [1.0, 2.0, 3.0, 4.0]), (2, "train", None), (3, "train", [0.5, 0.0, -1.0, 2.0]),
+         (4, "val", [1.0, 1.0, 0.0, 2.0]), (5, "val", [3.0, 1.0, 2.0, 0.0])]
+
+
+def test_blocked_scores_agree_above_the_broadcast_limit(spark):
+    from prefspark.operators.influence import influence_scores_blocked
+    g = spark.createDataFrame(GRADS, "id long, split string, grad array<double>")
+    want = {r["id"]: r["score"] for r in influence_scores(g.where("split = 'train'"), g.where("split = 'val'")).collect()}
+    blocks = spark.createDataFrame(_slices(GRADS), BLOCKS)
+    for limit in (512 * 2**20, 0):
+        got = {r["id"]: r["score"] for r in influence_scores_blocked(blocks, max_broadcast_bytes=limit, salts=3).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_blocked_scores_need_gradients_on_both_sides(spark):
+    import pytest
+    from prefspark.operators.influence import influence_scores_blocked
+    for lacking in ("train", "val"):
+        rows = [(i, s, None if s == lacking else g) for i, s, g in GRADS]
+        with pytest.raises(Exception, match="no gradients"):
+            influence_scores_blocked(spark.createDataFrame(_slices(rows), BLOCKS)).collect()
+
+
+def test_undefined_scores_stay_null_and_missing_ones_are_zero(spark):
+    from prefspark.operators.records import attach_scores
+    pref = spark.createDataFrame([(i, "chosen", 0, "user", "q") for i in (1, 2, 3)],
+                                 "id long, side string, turn long, role string, text string")
+    scores = spark.createDataFrame([(1, 2.0), (2, None)], "id long, score double")
+    assert {r["id"]: r["score_datainf"] for r in attach_scores(pref, scores).collect()} == {1: 2.0, 2: None, 3: 0.0}

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from prefspark import fixtures as FX
@@ -49,3 +50,33 @@ def test_subject_flow(spark, tmp_dir):
             json.dump({"results": {"mmlu_anatomy": {"acc,none": acc}}}, f)
     rows = evaluation.compare_subject_runs(spark, tmp_dir).collect()
     assert [(r["label"], r["position"]) for r in rows] == [("a", 1), ("b", 2)]
+
+
+def test_judging_goes_on_after_a_crash(spark, tmp_dir):
+    prompts = spark.createDataFrame([(i, f"q{i}", "ref") for i in range(40)], "idx long, instruction string, output string")
+    outputs = spark.createDataFrame([(i, f"answer {i}") for i in range(40)], "idx long, model_output string")
+
+    def judge_at(log, crash):
+        def fn(prompt):
+            with open(f"{tmp_dir}/{log}", "a") as f:
+                f.write(f"{prompt.count('q')}\n")
+            if crash and "q23" in prompt:
+                raise SystemExit("ends the task: not one of the failures that a judge call retries")
+            return "1"
+        return fn
+
+    args = {"backoff": lambda a: 0.0, "cache_path": f"{tmp_dir}/cache", "slice_rows": 8}
+    with pytest.raises(Exception):
+        winrate.judged_rows(prompts, outputs, judge_at("first", True), **args)
+    kept = spark.read.parquet(f"{tmp_dir}/cache").count() if os.path.exists(f"{tmp_dir}/cache/_SUCCESS") else 0
+    done = winrate.judged_rows(prompts, outputs, judge_at("second", False), **args)
+    assert sorted(r["idx"] for r in done.collect()) == list(range(40))
+    with open(f"{tmp_dir}/second") as f:
+        assert len(f.readlines()) == 40 - kept
+    again = winrate.judged_rows(prompts, outputs, judge_at("third", True), **args)
+    assert again.count() == 40 and not os.path.exists(f"{tmp_dir}/third")
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from prefspark.session import _is_local
+    assert _is_local("local") and _is_local("local[8]") and not _is_local("local-cluster[3,2,1024]") and not _is_local("yarn")

@@ -118,7 +118,7 @@ def test_materialized_flow_equals_lazy_pairs(spark):
     train = g.filter(F.col("split") == "train")
     s = influence.influence_scores(train, g.filter(F.col("split") == "val"))
     docs = FX.fx_doc(spark, SF001)
-    scored = docs.join(s, "id").withColumnRenamed("score", "score_datainf")
+    scored = docs.join(s, "id", "left").withColumn("score_datainf", F.coalesce("score", F.lit(0.0)))
     lazy = {tuple(r) for r in pairs.pairs(scored, "both").collect()}
     assert flow == lazy and len(flow) > 0
 
