@@ -2,9 +2,70 @@
 
 from __future__ import annotations
 
+from prefspark.llm.pii import KINDS, SCORES, WORDS
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+def _pii() -> str:
+    """Spans of personal data; ``\\b`` stands for the looking around of the Spark patterns."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+             "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+             "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+             "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", "run_card": r"\b(?:[0-9]{4}[ -]?){3}[0-9]{4}\b",
+             "run_phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}\b"}
+
+    def too_long(kind, most):
+        return f"len([x for x in regexp_extract_all(t, '{plain[kind]}') if length(regexp_replace(x, '[^0-9]', '', 'g')) > {most}]) > 0"
+
+    only = {"run_card": too_long("card", 19), "run_phone": too_long("phone", 15)}
+    found = "\n  union all ".join(
+        f"select id, t, '{k}' k, regexp_extract_all(t, '{p}') m, regexp_split_to_array(t, '{p}') g from d where {only.get(k, 'true')}"
+        for k, p in plain.items())
+    near = "\n      ".join(f"when '{k}' then regexp_matches(around, '\\b(?:{w})\\b')" for k, w in WORDS.items())
+    score = " ".join(f"when '{k}' then {x}" for k, x in SCORES.items())
+    order = " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS))
+    luhn = ("list_sum([case when (length(dg) - i) % 2 = 0 then dg[i]::int when dg[i]::int > 4 then 2 * dg[i]::int - 9 "
+            "else 2 * dg[i]::int end for i in range(1, length(dg) + 1)]) % 10 = 0")
+    return f"""
+with d as (select row_number() over () id, doc_id, coalesce(text, '') t from documents),
+f as ({found}),
+u as (select id, t, k, unnest(m) v, unnest(g[1:len(m)]) gap, unnest(range(1, len(m) + 1)) i from f where len(m) > 0),
+e as (select *, (sum(length(gap) + length(v)) over (partition by id, k order by i))::bigint e_ from u),
+b as (select id, t, k, v, e_ - length(v) b_, e_, regexp_replace(v, '[^0-9]', '', 'g') dg from e),
+c as (select * from b union all select id, t, 'short_card', v, b_, e_, dg from b where k = 'card'),
+w as (
+  select *, lower(substr(t, greatest(b_ - 40, 0) + 1, least(b_, 40)) || ' ' || substr(t, e_ + 1, 20)) around,
+    replace(substr(replace(v, ' ', ''), 5) || substr(replace(v, ' ', ''), 1, 4), ' ', '') turned from c),
+o as (
+  select *, case k
+      when 'ip' then len([x for x in string_split(v, '.') if length(ltrim(x, '0')) > 3
+        or (length(ltrim(x, '0')) = 3 and ltrim(x, '0') > '255')]) = 0
+      when 'card' then length(dg) between 16 and 19 and {luhn}
+      when 'run_card' then length(dg) between 16 and 19 and {luhn}
+      when 'short_card' then length(dg) between 13 and 15 and {luhn}
+      when 'phone' then length(dg) between 8 and 15
+      when 'run_phone' then length(dg) between 8 and 15
+      when 'iban' then list_reduce([0] || [case when ascii(turned[i]) >= 65 then ascii(turned[i]) - 55 + 1000
+        else ascii(turned[i]) - 48 end for i in range(1, length(turned) + 1)],
+        lambda x, y: case when y >= 1000 then (x * 100 + y - 1000) % 97 else (x * 10 + y) % 97 end) = 1
+      else true end ok,
+    (case k {score} end) + case when (case k {near} end) then 0.3 else 0.0 end score,
+    case k {order} end n from w),
+s as (select * from o where ok and (n < 4 or score >= 0.6)),
+a as (
+  select id, count(*) filter (where k = 'email') n_email, count(*) filter (where k = 'ip') n_ip,
+    count(*) filter (where k = 'card') n_card, count(*) filter (where k = 'phone') n_phone,
+    string_agg(k || ':' || b_ || ':' || e_, ',' order by n, b_) filter (where n < 4) base,
+    string_agg(k || ':' || b_ || ':' || e_, ',' order by n, b_) spans from s group by id)
+select doc_id, coalesce(n_email, 0) n_email, coalesce(n_ip, 0) n_ip, coalesce(n_card, 0) n_card, coalesce(n_phone, 0) n_phone,
+  sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join a using (id)
+"""
+
+
 ORACLE = {
+    "op10_pii": _pii(),
     "op8_mix": rf"""
 with d as (
   select *, coalesce(len({_WORDS}), 0)::bigint size_ from documents),
