@@ -21,10 +21,9 @@ def _msg_list(entries):
 
 
 def fx_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested layout (unit tests): id k: chosen = conversation 2k, rejected = 2k+1, prompt.
+    """Nested layout, as stored: id k: chosen = conversation 2k, rejected = 2k+1, prompt.
 
-    Gathers each conversation into an array; the registered queries use
-    ``fx_pref_long`` instead.
+    Gathers each conversation into an array (a stored record is one row).
     """
     conv = table(spark, sf_dir, "conversations")
     g = (conv.groupBy(F.expr("conv_id div 2").alias("id"))
@@ -37,6 +36,20 @@ def fx_pref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", prompt.alias("prompt"), "chosen", "rejected")
 
 
+def fx_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX-msg: conv_id and its messages as one array, the way stored records hold them."""
+    conv = table(spark, sf_dir, "conversations")
+    g = conv.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return g.select("conv_id", _msg_list(F.col("m")).alias("msgs"))
+
+
+def fx_subject_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result document a label: {"results": {task: {"acc,none": acc}}} (a label has few tasks)."""
+    entry = F.struct("task", F.struct(F.col("acc").alias("acc,none")))
+    g = fx_subj(spark, sf_dir).groupBy("label").agg(F.map_from_entries(F.collect_list(entry)).alias("results"))
+    return g.select("label", F.to_json(F.struct("results")).alias("value"))
+
+
 def fx_pref_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-pref in the long layout: one row per message (id, side, turn, role, text)."""
     conv = table(spark, sf_dir, "conversations")

@@ -489,3 +489,9 @@ FROM fx_judge""",
 SELECT id, {strip("length(chosen) || ' ' || replace(chosen, chr(10), ' ')")} AS response FROM fx_doc""",
     "map_verdicts": _STUB_PROMPTS,
 }
+
+# The same results from nested records and from result documents.
+for _name in ("first_turn_trimmed", "last_turn_or_empty", "first_turn_raw", "last_message", "to_dpo_records",
+              "conversion_report", "attach_scores"):
+    ORACLE[f"{_name}_nested"] = ORACLE[_name]
+ORACLE["read_subject_documents"] = ORACLE["read_subject_results"]

@@ -83,6 +83,13 @@ def q_read_subject_results(spark, sf):
     return io.read_subject_results(spark, path, layout="long")
 
 
+def q_read_subject_documents(spark, sf):
+    path = scratch_path(spark, "subject-documents")
+    FX.fx_subject_documents(spark, sf).repartition("label").write.partitionBy("label").text(path)
+    acc = io.read_subject_results(spark, path, file_name="part-*")
+    return acc.withColumn("label", F.regexp_replace("label", "^label=", ""))
+
+
 def q_read_math_results(spark, sf):
     path = scratch_path(spark, "math")
     scored = metrics.score_math(FX.fx_math(spark, sf)).select(
@@ -131,6 +138,36 @@ def q_last_message(spark, sf):
     return conv.groupBy("conv_id").agg(T.turn_agg(None, "last", default=None).alias("content"))
 
 
+def _nested_turns(spark, sf, which, trim, default):
+    conv = FX.fx_conv(spark, sf)
+    return conv.select("conv_id", T.turn_text("msgs", "user", which, trim, default).alias("user_text"),
+                       T.turn_text("msgs", "assistant", which, trim, default).alias("assistant_text"))
+
+
+def q_first_turn_trimmed_nested(spark, sf):
+    return _nested_turns(spark, sf, "first", True, "")
+
+
+def q_last_turn_or_empty_nested(spark, sf):
+    return _nested_turns(spark, sf, "last", False, "empty")
+
+
+def q_first_turn_raw_nested(spark, sf):
+    return _nested_turns(spark, sf, "first", False, "")
+
+
+def q_last_message_nested(spark, sf):
+    return FX.fx_conv(spark, sf).select("conv_id", T.turn_text("msgs", None, "last", default=None).alias("content"))
+
+
+def q_to_dpo_records_nested(spark, sf):
+    return records.to_dpo_records(FX.fx_pref(spark, sf))
+
+
+def q_conversion_report_nested(spark, sf):
+    return records.conversion_report(FX.fx_pref(spark, sf))
+
+
 def q_to_dpo_records(spark, sf):
     return records.to_dpo_records(FX.fx_pref_long(spark, sf))
 
@@ -239,6 +276,12 @@ def q_attach_scores(spark, sf):
     return out.withColumn("score_datainf", _r9("score_datainf"))
 
 
+def q_attach_scores_nested(spark, sf):
+    train, val = _grad_split(spark, sf)
+    out = records.attach_scores(FX.fx_pref(spark, sf), influence.influence_scores(train, val))
+    return out.withColumn("score_datainf", _r9("score_datainf"))
+
+
 def q_top_k_helpful(spark, sf):
     return influence.top_k_helpful(FX.fx_scored(spark, sf))
 
