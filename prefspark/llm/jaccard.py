@@ -139,16 +139,22 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
 
 
-def _screened(nodes: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """node, n, id, key of the nodes whose prefix shares enough tokens with other nodes' prefixes."""
-    own = nodes.where(F.size("prefix") > 0).join(reps.select("node"), "node")
+def _screened(nodes: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """node, n, id, key of the nodes whose prefix shares enough tokens with other nodes' prefixes.
+
+    ``copies`` are the rows that are no nodes, as their sets are those of other
+    rows.  They go by a join that leaves the prefixes where they are, if small.
+    """
+    reps = nodes.where("n > 0").join(small_or_not(copies), "node", "left_anti")
+    own = reps.where(F.size("prefix") > 0)
     tokens = own.select("node", F.explode("prefix").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     shared = tokens.join(common, "token").groupBy("node").agg(F.count("*").alias("shared"))
     # of a partner, which has at least least_overlap(n) tokens
     smallest = F.ceil(F.col("n") * percent / 100)
     need = F.greatest(F.lit(1), F.ceil(smallest / 10))
-    return shared.join(reps, "node").where(F.col("shared") >= need).select("node", "n", "id", "key")
+    enough = small_or_not(materialize(shared, "shared"))
+    return reps.drop("prefix").join(enough, "node").where(F.col("shared") >= need).select("node", "n", "id", "key")
 
 
 def _whole_sets(docs: DataFrame, kept: DataFrame, words: int) -> DataFrame:
@@ -235,7 +241,10 @@ def _with_head(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         "node", F.col("b.head").alias("head"))
     mine = sets.select("node", F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     theirs = sets.select(F.col("node").alias("head"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    pairs = best.join(mine, "node").join(theirs, "head")
+    best = materialize(best, "best-heads")
+    # with few families only the sets in them move, not those of all nodes
+    heads = small_or_not(best.select("head").distinct())
+    pairs = mine.join(small_or_not(best), "node").join(theirs.join(heads, "head", "left_semi"), "head")
     common = F.size(F.array_intersect("t1", "t2"))
     return pairs.where(linked(common, F.col("n1"), F.col("n2"), percent)).select(
         F.col("node").alias("u"), F.col("head").alias("v"))
@@ -315,7 +324,8 @@ def _in_blocks(family: DataFrame, sets: DataFrame, comp: DataFrame, percent: int
     ]
     columns = ["head", "i", "j", "node", "component", "first", "second"]
     rows = meets[0].select(*columns).unionByName(meets[1].select(*columns)).unionByName(meets[2].select(*columns))
-    return rows.join(sets, "node").groupBy("head", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
+    rows = small_or_not(materialize(rows, "blocks"))  # then the sets move once, into their blocks
+    return sets.join(rows, "node").groupBy("head", "i", "j").applyInPandas(_block_links(percent), "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS,
@@ -329,9 +339,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = nodes.where("n > 0").groupBy("key").agg(
         F.min("row").alias("node"), F.min("id").alias("class_id"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
-    reps = materialize(nodes.withColumnRenamed("row", "node").join(classes.select("node"), "node").select(
-        "node", "n", "id", "key"), "nodes")
-    kept = materialize(_screened(nodes.withColumnRenamed("row", "node"), reps, percent), "screened")
+    copies = nodes.where("n > 0").select(F.col("row").alias("copy"), "key").join(classes.select("key", "node"), "key")
+    copies = materialize(copies.where("copy <> node").select(F.col("copy").alias("node")), "copies")
+    kept = materialize(_screened(nodes.withColumnRenamed("row", "node"), copies, percent), "screened")
     sets = materialize(_whole_sets(docs, kept, words), "whole-sets")
     sigs = materialize(_signatures(sets, percent), "signatures")
     family = materialize(_families(sigs), "family")
