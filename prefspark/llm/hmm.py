@@ -1,8 +1,8 @@
 """Hidden Markov language model, trained and scored over whole texts.
 
 Observations are words (A-Z lower-cased, cut at ASCII white space) and one end
-token a document.  The ``HEAD`` most frequent training words are symbols of
-their own; all others fall into ``CLASSES`` symbols by their last bytes, within
+token a document.  The most frequent training words, ``HEAD`` at most, are
+symbols of their own; all others fall into ``CLASSES`` symbols by their last bytes, within
 which a word has probability (c + 1) / (sum of c + 1 over the class, + 1 for
 words not seen).  So the model proper has a fixed size, and every distinct
 training word still counts: its count is joined to the documents that hold it.
@@ -113,9 +113,27 @@ def count_words(docs: DataFrame) -> DataFrame:
         F.min("class").alias("class"), F.sum("c").alias("c"))
 
 
+def head_words(counts: DataFrame, head: int) -> list:
+    """The rows above the smallest count that leaves at most ``head`` of them, the most frequent first.
+
+    The counts fall into a fixed number of ranges (exact up to 4,096, then by
+    1 %), whose sizes tell from which range on all rows can be fetched.
+    """
+    c = F.col("c")
+    at = F.when(c <= 4096, c).otherwise(4096 + F.floor(F.log(c / 4096) / F.log(F.lit(1.01)))).cast("long")
+    least, total = None, 0
+    for r in sorted(counts.groupBy(at.alias("at")).count().collect(), key=lambda r: -r["at"]):
+        total += r["count"]
+        if total > head:
+            break
+        least = r["at"]
+    rows = counts.where(at >= least).collect() if least is not None else []
+    return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
+
+
 def vocabulary(counts: DataFrame, documents: int, head: int = HEAD) -> Vocabulary:
-    """``head`` words and sums of fixed size reach the driver."""
-    top = counts.orderBy(F.desc("c"), "word").limit(head).collect()
+    """At most ``head`` words and sums of fixed size reach the driver."""
+    top = head_words(counts, head)
     all_classes = {r["class"]: r for r in counts.groupBy("class").agg(
         F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("mass"), F.count("*").alias("v")).collect()}
     tokens, mass = np.zeros(CLASSES), np.ones(CLASSES)
