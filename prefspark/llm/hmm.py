@@ -44,7 +44,7 @@ from prefspark.session import materialize
 HEAD, CLASSES, SUFFIX = 40_000, 1_024, 4
 STATES, ITERATIONS, WINDOW, ANCHORS = 8, 2, 256, 256
 STAY, PULL, SMOOTH = 0.9, 0.9, 100.0  # first transition to the same state; an anchor's share in its state; prior tokens
-BATCH_TOKENS, FLUSH_WORDS = 400_000, 400_000
+BATCH_TOKENS, FLUSH_WORDS, SLICE_ROWS = 400_000, 400_000, 500
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -155,7 +155,7 @@ def sequences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 
     def encode(batches):
         index = {w: i for i, w in enumerate(vocab.head)}
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             n, known, head_sum, symbols, words, times = [], [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 own = words_of(text)
