@@ -14,6 +14,8 @@ from prefspark.llm import jaccard, mixing, packing, pii, quality
 from prefspark.session import materialize
 
 ORACLE_SQL = None
+# Near copies share four fifths of their five-word shingles (op2's contract has 4 words, 85 percent).
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join."""
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, words=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

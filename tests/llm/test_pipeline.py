@@ -6,6 +6,7 @@ from collections import Counter
 import public_tokenizers
 from brute_pii import base
 from test_jaccard import brute as classes
+from test_jaccard import shingles
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -72,6 +73,30 @@ def test_stages(spark):
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"]) for r in packed) == want
 
 
+def test_near_copies_between_080_and_085_go(spark):
+    rng = random.Random(5)
+
+    def fresh(n):
+        return [f"n{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+    rows, gone = [], set()
+    # added words: 100 five-word shingles of 100 + m are common, so 25 is the border; a replaced
+    # passage of m words leaves 96 - m of 104 + m
+    for m in (18, 20, 22, 24, 25, 26, 28):
+        base = fresh(104)
+        rows += [(10 * m, " ".join(base)), (10 * m + 1, " ".join(base + fresh(m)))]
+        gone |= {10 * m + 1} if m <= 25 else set()
+    for k, m in enumerate((6, 7, 8)):
+        base = fresh(104)
+        rows += [(500 + 10 * k, " ".join(base)), (501 + 10 * k, " ".join(base[:50] + fresh(m) + base[50 + m:]))]
+        gone |= {501 + 10 * k} if 100 * (96 - m) >= 80 * (104 + m) else set()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    sets = {i: (shingles(t, 5), shingles(t)) for i, t in rows}
+    near = [[len(a & b) / len(a | b) for a, b in zip(sets[i - 1], sets[i])] for i in gone]
+    assert len(gone) >= 5 and all(five >= 0.8 and four < 0.85 for five, four in near), near
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "unused").collect()} == {i for i, _ in rows} - gone
+
+
 def test_run_and_registration(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "quality_rules", "near_duplicates", "personal_data", "mixing_sources", "best_fit_packing"]
