@@ -12,9 +12,11 @@ training word still counts: its count is joined to the documents that hold it.
 3. States start from groups of the most frequent symbols that occur in the same
    documents (co-occurrence counts over all training documents).
 4. Baum-Welch: each task runs the scaled forward-backward recursion over its
-   documents, in windows of ``WINDOW`` tokens, and sums expected counts of
-   starts, transitions and emissions; Spark sums these over tasks, and the
-   driver, which gets a table of fixed size, forms the next model.
+   whole documents and sums expected counts of starts, transitions and
+   emissions; Spark sums these over tasks, and the driver, which gets a table of
+   fixed size, forms the next model.  Windows of ``WINDOW`` tokens are worked on
+   side by side: the products of their transition matrices give the forward and
+   backward vectors at every border first, so nothing is cut there.
 5. The scaled forward recursion over each whole document gives the exact
    likelihood of its symbols; the counts of its rarer words complete it.
 
@@ -222,43 +224,92 @@ def log_likelihoods(seqs: list[np.ndarray], model: Model) -> np.ndarray:
     return out
 
 
+def window_products(parts: list[np.ndarray], model: Model) -> np.ndarray:
+    """Of each window, the scaled probability of its symbols and last state given its first state."""
+    states = len(model.start)
+    out = np.empty((len(parts), states, states))
+    for group in groups(np.array([len(s) for s in parts])):
+        flat, active, offset = packed([parts[k] for k in group])
+        r = np.eye(states) * model.emit[flat[:active[0]], None, :]
+        for t, (n, o) in enumerate(zip(active, offset)):
+            if t:
+                out[group[n:len(r)]] = r[n:]
+                r = (r[:n].reshape(-1, states) @ model.move).reshape(n, states, states) * model.emit[flat[o:o + n], None, :]
+            r /= r.sum(axis=(1, 2), keepdims=True)
+        out[group[:len(r)]] = r
+    return out
+
+
+def windows(seqs: list[np.ndarray], model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all sequences, and for each what the rest of its sequence says: (windows, starts, before, after).
+
+    ``before`` is the scaled forward vector at the border ahead of a window that
+    starts no sequence, ``after`` the scaled backward vector at its last token.
+    """
+    parts = [[s[i:i + WINDOW] for i in range(0, len(s), WINDOW)] for s in seqs]
+    products = window_products([w for p in parts if len(p) > 1 for w in p], model)
+    flat = [w for p in parts for w in p]
+    starts, before, after = np.zeros(len(flat), dtype=bool), np.zeros((len(flat), len(model.start))), np.ones((len(flat), len(model.start)))
+    at = used = 0
+    for p in parts:
+        starts[at] = True
+        if len(p) > 1:
+            own, a, b = products[used:used + len(p)], model.start, after[at]
+            for k in range(len(p) - 1):
+                a = a @ own[k]
+                before[at + k + 1] = a = a / a.sum()
+                a = a @ model.move
+            for k in range(len(p) - 1, 0, -1):
+                b = model.move @ (own[k] @ b)
+                after[at + k - 1] = b = b / b.sum()
+            used += len(p)
+        at += len(p)
+    return flat, starts, before, after
+
+
 def expected_counts(seqs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sums over sequences of expected starts, transitions and emissions (symbol x state)."""
+    """Sums over whole sequences of expected starts, transitions and emissions (symbol x state), window by window."""
     states = len(model.start)
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)
-    for group in groups(np.array([len(s) for s in seqs])):
-        flat, active, offset = packed([seqs[k] for k in group])
+    parts, starts, before, after = windows(seqs, model)
+    for group in groups(np.array([len(s) for s in parts])):
+        flat, active, offset = packed([parts[k] for k in group])
+        begins, ahead, behind = starts[group], before[group], after[group]
+        prior = np.where(begins[:, None], model.start, ahead @ model.move)
         given = model.emit[flat]
         alpha, scale = np.empty_like(given), np.empty(len(flat))
-        a = model.start * given[:active[0]]
+        a = prior * given[:active[0]]
         for t, (n, o) in enumerate(zip(active, offset)):
             if t:
                 a = (a[:n] @ model.move) * given[o:o + n]
             scale[o:o + n] = s = a.sum(axis=1)
             a = a / s[:, None]
             alpha[o:o + n] = a
-        gamma, beta = alpha, np.ones((active[-1], states))
+
+        def last(t, low):
+            """Backward vectors of the windows from ``low`` on that end at time t."""
+            b, o = behind[low:active[t]], offset[t]
+            return b / (alpha[o + low:o + active[t]] * b).sum(axis=1, keepdims=True)
+
+        gamma, beta = alpha, last(len(active) - 1, 0)
         pairs = np.zeros((states, states))
         for t in range(len(active) - 2, -1, -1):
             n, o, m, p = active[t], offset[t], active[t + 1], offset[t + 1]
             later = given[p:p + m] * beta / scale[p:p + m, None]
             pairs += alpha[o:o + m].T @ later
             gamma[p:p + m] *= beta
-            beta = np.ones((n, states))
-            beta[:m] = later @ model.move.T
+            beta = np.concatenate([later @ model.move.T, last(t, m)])
+        # transitions over the border ahead of a window, which starts at its prior
+        later = given[:active[0]] * beta / scale[:active[0], None]
+        pairs += ahead.T @ later
         gamma[:active[0]] *= beta
         move += pairs * model.move
-        start += gamma[:active[0]].sum(axis=0)
+        start += gamma[:active[0]][begins].sum(axis=0)
         for s in range(states):
             emit[:, s] += np.bincount(flat, weights=gamma[:, s], minlength=len(emit))
     return start, move, emit
 
 
-def windows(symbols: bytes) -> list[np.ndarray]:
-    s = np.frombuffer(symbols, dtype="<u2")
-    return [s[i:i + WINDOW] for i in range(0, len(s), WINDOW)]
-
-
 def co_occurrence(train: DataFrame, anchors: int) -> np.ndarray:
     """In how many training documents each two of the first symbols occur together; a table of fixed size."""
     def count(batches):
@@ -323,7 +374,7 @@ def baum_welch(train: DataFrame, vocab: Vocabulary, model: Model) -> Model:
     def count(batches):
         sums = [np.zeros(states), np.zeros((states, states)), np.zeros((vocab.size, states))]
         for batch in batches:
-            seqs = [w for b in batch.column(0) for w in windows(b.as_py())]
+            seqs = [np.frombuffer(b.as_py(), dtype="<u2") for b in batch.column(0)]
             for total, part in zip(sums, expected_counts(seqs, model)):
                 total += part
         rows = np.concatenate([sums[0][None], sums[1], sums[2]])

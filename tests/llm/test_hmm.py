@@ -50,6 +50,41 @@ def test_likelihood_and_expected_counts_equal_all_paths(monkeypatch):
         assert np.allclose(a, b)
 
 
+def whole_counts(seqs, m):
+    """Expected counts by the plain forward-backward recursion, token by token over each whole sequence."""
+    start, move, emit = np.zeros_like(m.start), np.zeros_like(m.move), np.zeros_like(m.emit)
+    for s in seqs:
+        a, b = [m.start * m.emit[s[0]]], [np.ones(len(m.start))]
+        for o in s[1:]:
+            a.append((a[-1] / a[-1].sum()) @ m.move * m.emit[o])
+        for o in s[:0:-1]:
+            x = m.move @ (m.emit[o] * b[-1])
+            b.append(x / x.sum())
+        b.reverse()
+        for t, o in enumerate(s):
+            g = a[t] * b[t] / (a[t] @ b[t])
+            emit[o] += g
+            if t:
+                x = a[t - 1][:, None] * m.move * (m.emit[o] * b[t])
+                move += x / x.sum()
+            else:
+                start += g
+    return start, move, emit
+
+
+def test_training_counts_are_those_of_whole_texts(spark):
+    rng = np.random.default_rng(6)
+    vocab = hmm.Vocabulary([b"a", b"b", b"c"], np.ones(hmm.CLASSES + 4), np.ones(hmm.CLASSES), 1, 1)
+    m = model(rng, 3, vocab.size)
+    seqs = [rng.integers(0, 6, n) for n in (1, 255, 256, 257, 512, 513, 700, 1500, 3)]
+    for a, b in zip(hmm.expected_counts(seqs, m), whole_counts(seqs, m)):
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9)
+    df = spark.createDataFrame([(bytearray(s.astype("<u2").tobytes()),) for s in seqs], "symbols binary").repartition(2)
+    got, want = hmm.baum_welch(df, vocab, m), hmm.next_model(vocab, *whole_counts(seqs, m))
+    for name in ("start", "move", "emit"):  # a start and no border transition at every 256 tokens would show here
+        assert np.allclose(getattr(got, name), getattr(want, name), rtol=1e-9), name
+
+
 def brute_base(rows):
     train = [hmm.words_of(t) for i, t in rows if crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     c = Counter(w for t in train for w in t + ["<end>"])
