@@ -116,20 +116,29 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def head_words(counts: DataFrame, head: int) -> list:
-    """The rows above the smallest count that leaves at most ``head`` of them, the most frequent first.
+    """The ``head`` most frequent rows, those with equal counts by the word's hash, the most frequent first.
 
     The counts fall into a fixed number of ranges (exact up to 4,096, then by
-    1 %), whose sizes tell from which range on all rows can be fetched.
+    1 %), whose sizes tell from which range on all rows can be fetched.  The
+    range that fits in part is looked into by exact count, then by slices of the
+    hash, so at most ``head`` rows are fetched.
     """
-    c = F.col("c")
+    c, digest = F.col("c"), F.xxhash64("word")
     at = F.when(c <= 4096, c).otherwise(4096 + F.floor(F.log(c / 4096) / F.log(F.lit(1.01)))).cast("long")
-    least, total = None, 0
-    for r in sorted(counts.groupBy(at.alias("at")).count().collect(), key=lambda r: -r["at"]):
-        total += r["count"]
-        if total > head:
+    slices = [F.pmod(F.shiftright(digest, 12 * k), F.lit(4096)) for k in range(5)]
+    part, rows, room = counts, [], head
+    for key in (at, c, *slices):
+        least, crossing = None, None
+        for r in sorted(part.groupBy(key.alias("key")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["key"]):
+            if r["n"] > room:
+                crossing = r["key"]
+                break
+            least, room = r["key"], room - r["n"]
+        if least is not None:
+            rows += part.where(key >= least).collect()
+        if crossing is None or not room:
             break
-        least = r["at"]
-    rows = counts.where(at >= least).collect() if least is not None else []
+        part = part.where(key == crossing)
     return sorted(rows, key=lambda r: (-r["c"], bytes(r["word"])))
 
 

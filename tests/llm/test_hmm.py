@@ -107,6 +107,16 @@ def test_base_score_and_odd_inputs(spark, head):
     assert all(r["train_tokens"] == n and r["score"] < 0 and np.isfinite(r["score"]) for r in out)
 
 
+def test_head_is_filled_from_the_range_that_crosses_the_limit(spark):
+    rows = [(f"one{i}".encode(), 0, 1) for i in range(300)] + [(b"top", 0, 9), (b"next", 0, 7)]
+    rows += [(f"big{i}".encode(), 0, 5000 + i) for i in range(20)]  # within one per cent
+    df = spark.createDataFrame([(bytearray(w), k, c) for w, k, c in rows], "word binary, class int, c long").repartition(3)
+    for head in (0, 1, 5, 21, 22, 23, 150, 321, 322, 400):
+        got = hmm.head_words(df, head)
+        counts = sorted((c for _, _, c in rows), reverse=True)[:head]
+        assert [r["c"] for r in got] == counts and len({bytes(r["word"]) for r in got}) == len(counts), head
+
+
 def test_no_training_text_and_empty_table(spark):
     assert hmm.score_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     out_id = next(i for i in range(100) if crc32(str(i).encode()) % 7 == 2)
