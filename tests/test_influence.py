@@ -7,7 +7,7 @@ from prefspark import fixtures as FX
 from prefspark.operators.influence import (damping, influence_scores, influence_scores_blocked,
                                            mean_vector_row)
 
-from conftest import SF001
+from shared_paths import SF001
 
 
 def test_matches_two_step_numpy(spark):

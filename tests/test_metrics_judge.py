@@ -11,7 +11,7 @@ from prefspark import fixtures as FX
 from prefspark.operators import hooks, judge, metrics
 from prefspark.sources import io
 
-from conftest import SF01
+from shared_paths import SF01
 
 
 def _newton_logit(X, y, C=1.0, iters=100):

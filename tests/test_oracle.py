@@ -5,7 +5,7 @@
 
 import pytest
 
-from conftest import SF001
+from shared_paths import SF001
 from oracle_check import compare, duck
 
 from prefspark.oracle import ORACLE

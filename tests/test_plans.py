@@ -5,7 +5,7 @@ import pytest
 from prefspark.plans.inspect import physical_plan, python_operators, read_schemas, unbounded_single_partition
 from prefspark.registry import QUERIES
 
-from conftest import SF001
+from shared_paths import SF001
 
 HOOKS = {"map_responses", "map_verdicts"}
 # One row per evaluated model: the final ordering window is over that small table.

@@ -10,7 +10,7 @@ from prefspark import fixtures as FX
 from prefspark.operators import judge
 from prefspark.plans import evaluation, winrate
 
-from conftest import SF001
+from shared_paths import SF001
 
 
 def test_winrate_flow_resumes_and_reports(spark):

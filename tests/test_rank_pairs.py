@@ -112,7 +112,7 @@ def test_materialized_flow_equals_lazy_pairs(spark):
     from prefspark import fixtures as FX
     from prefspark.operators import influence, pairs
     from prefspark.plans.influence_pairs import influence_pairs_query
-    from conftest import SF001
+    from shared_paths import SF001
     flow = {tuple(r) for r in influence_pairs_query(spark, SF001).collect()}
     g = FX.fx_grad(spark, SF001)
     train = g.filter(F.col("split") == "train")
