@@ -5,6 +5,51 @@ from __future__ import annotations
 from prefspark.llm.pii import KINDS, SCORES, WORDS
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"unnest(regexp_extract_all(translate(text, {_LOWER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+
+def _merkle() -> str:
+    """Trees level by level, then each leaf folded level by level; DuckDB has no crc32, so it is computed bit by bit."""
+    crc = """xor(list_reduce([4294967295::ubigint] || [ascii(x)::ubigint for x in string_split(doc_id::varchar, '')],
+    lambda c, b: list_reduce([xor(c, b)] || [0::ubigint for i in range(8)],
+      lambda x, i: case when x % 2 = 1 then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint)"""
+
+    def leaf(text):
+        return "sha256(" + " || ".join(f"coalesce(strlen({x}::varchar)::varchar || ':' || {x}::varchar, '-')"
+                                       for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def tree(name, leaves):
+        return f"""{name} as (
+  select g, 0 lv, p, n, h from {leaves}
+  union all
+  select g, lv + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' order by p)) from {name} where n > 1 group by g, lv, n, p // 8)"""
+
+    run = "over (partition by g, lv, p // 8 order by p rows between"
+    return f"""
+with recursive d as (select *, coalesce({crc} % 3 = 0, false) hit, coalesce('=' || lang, '-') g from documents),
+l as (select doc_id, g, {leaf('text')} h, case when hit then {leaf(f'translate(text, {_LOWER})')} else {leaf('text')} end bad from d),
+o as (select *, (row_number() over (partition by g order by doc_id nulls first, h) - 1)::bigint p, (count(*) over (partition by g))::bigint n from l),
+{tree('t1', 'o')},
+top as (select g, h from t1 where n = 1),
+z as (select '' g, g of_, (row_number() over (order by g) - 1)::bigint p, (count(*) over ())::bigint n, h from top),
+{tree('t2', 'z')},
+r as (select h root from t2 where n = 1),
+nodes as (select g, lv, p, h, n from t1 union all select '/', lv, p, h, n from t2),
+sib as (select g, lv, p, n, coalesce(string_agg(h, '') {run} unbounded preceding and 1 preceding), '') lft,
+    coalesce(string_agg(h, '') {run} 1 following and unbounded following), '') rgt from nodes),
+fold as (
+  select o.doc_id, o.g own, o.h leaf, o.bad x, o.g tr, 0 lv, o.p, '' sibs from o
+  union all
+  select doc_id, own, leaf, case when s.n > 1 then sha256(lft || x || rgt) else x end,
+    case when s.n > 1 then tr else '/' end, case when s.n > 1 then fold.lv + 1 else 0 end,
+    case when s.n > 1 then fold.p // 8 else z.p end, case when s.n > 1 then sibs || lft || rgt else sibs end
+  from fold join sib s on s.g = tr and s.lv = fold.lv and s.p = fold.p join z on z.of_ = own
+  where s.n > 1 or tr <> '/'),
+done as (select fold.* from fold join sib s on s.g = tr and s.lv = fold.lv and s.p = fold.p where tr = '/' and s.n = 1)
+select doc_id, leaf, top.h subroot, root, sha256(sibs) proof_sha256, x folded_root, x = root verified
+from done join top on top.g = done.own cross join r
+"""
 
 
 def _pii() -> str:
@@ -66,6 +111,22 @@ from d left join a using (id)
 
 ORACLE = {
     "op10_pii": _pii(),
+    "op12_merkle": _merkle(),
+    "op11_search": f"""
+with d as (select doc_id, row_number() over () r, {_TERMS} t from documents),
+f as (select r, doc_id, t, count(*)::bigint tf from d group by all),
+n as (select r, sum(tf)::bigint n from f group by r),
+c as (select count(*)::bigint cn, sum(n)::bigint cl from n),
+m as (select r, n, 75 + (25 * n * cn) // cl m from n, c),
+q as (select item_id, row_number() over () u, {_TERMS} t from benchmark),
+qt as (select u, item_id, t, count(*)::bigint times from q group by all),
+df as (select t, count(*)::bigint df from f group by t),
+w as (select t, floor(1000 * ln((2 * cn + 2) / (2 * df + 1)))::bigint w from df, c),
+s as (select u, item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::bigint score
+  from qt join f using (t) join w using (t) join m using (r) group by all),
+k as (select *, row_number() over (partition by u order by score desc, doc_id nulls last)::int "rank" from s where score > 0)
+select item_id, "rank", doc_id, score from k where "rank" <= 20
+""",
     "op8_mix": rf"""
 with d as (
   select *, coalesce(len({_WORDS}), 0)::bigint size_ from documents),
