@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prefspark.llm import chat, hmm, jaccard, langid, lexical, merkle, mixing, packing, pii, quality, search, sharding
+from prefspark.llm import chat, extract, hmm, jaccard, langid, lexical, merkle, mixing, packing, pii, quality, search, sharding
 from prefspark.llm.common import table
 from prefspark.llm.sql import ORACLE  # noqa: F401
 
@@ -84,6 +84,11 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tampered_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.main_texts(pages.select("page_id", "url", "html"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -101,5 +106,6 @@ QUERIES: dict[str, Query] = {
     "op10_pii": op10_pii,
     "op11_search": op11_search,
     "op12_merkle": op12_merkle,
+    "op13_extract": op13_extract,
     "pipeline": pipeline,
 }

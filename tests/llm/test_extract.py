@@ -1,0 +1,136 @@
+from collections import Counter
+from itertools import product
+from random import Random
+
+import numpy as np
+import pytest
+
+from prefspark.llm import extract
+from prefspark.llm.dom import MAX_DEPTH, read_page
+from prefspark.llm.layouts import Layout
+
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+def texts(nodes):
+    return [t for _, t in sorted((at, t) for x in nodes for at, t, _ in x.runs)]
+
+
+def article_text(page):
+    """What stands between the tags of the article, by plain search."""
+    import html
+    import re
+    inside = page[page.index("<article>") + 9:page.index("</article>") if "</article>" in page else len(page)]
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>?", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
+    return "\n\n".join(b for b in blocks if b)
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return extract.fit(spark.read.parquet(PAGES))
+
+
+def test_given_pages(spark, forest):
+    """Pages the model has not learnt from (those of the larger table) give exactly their article."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").collect()
+    known = {r["html"] for r in spark.read.parquet(PAGES).collect()}
+    new = [r["html"] for r in rows if r["html"] not in known]
+    got = extract.texts_of(new, forest)
+    assert len(new) > 1_000 and sum(g == article_text(p) for g, p in zip(got, new)) >= 0.99 * len(new)
+
+
+def test_held_out_layouts(spark, forest):
+    """Unseen layouts of unseen articles: at least 94 of 100 blocks right, four fifths of the pages exactly."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").orderBy("page_id").limit(900).collect()[500:]
+    articles = [a for a in (extract.article_of(read_page(r["html"])) for r in rows) if a[1]]
+    pool = [t for _, p, o in articles for t in p + o]
+    pages = [Layout(Random(10 ** 6 + k), h, p, pool).page() for k, (h, p, _) in enumerate(articles)]
+    wanted = []
+    for page in pages:
+        nodes = read_page(page)
+        wanted.append(extract.main_text(nodes, extract.labels(nodes, False)))
+    got = extract.texts_of(pages, forest)
+    shares = []
+    for g, w in zip(got, wanted):
+        a, b = Counter(g.split("\n\n")), Counter(w.split("\n\n"))
+        shares.append(2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())))
+    assert np.mean(shares) > 0.94 and np.mean([g == w for g, w in zip(got, wanted)]) > 0.8
+
+
+def test_page_written_by_hand(forest):
+    body = "The council agreed on the new bridge, after a long debate, and work is to start in spring. Costs are shared. "
+    page = f"""<html><head><title>Bridge</title><style>p {{}}</style></head><body class="single">
+    <div id="cookie-banner"><p>We use cookies.</p><button>Accept</button></div>
+    <header class="site-header"><a href="/">The Daily</a><nav class="main-nav"><ul><li><a href="/a">News</a><li><a href="/b">Sport</a></ul></nav></header>
+    <div class="wrap"><div class="entry-content"><h1>A new&nbsp;bridge</h1><p>{body * 2}<p>He said &lt;yes&gt;
+    &amp; left. {body}</p><div class="ad-slot">Buy now!</div><p>{body}</p></div>
+    <aside class="sidebar"><h3>Popular</h3><ul><li><a href="/1">One story</a></li><li><a href="/2">Two stories</a></li></ul></aside></div>
+    <section id="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b><p>Great news, at last.</p></div></section>
+    <form class="newsletter"><label>Mail</label><input></form><script>var x = "<p>no</p>";</script>
+    <footer class="site-footer"><p>&copy; The Daily. All rights reserved.</p></footer></body></html>"""
+    got = extract.texts_of([page], forest)[0].split("\n\n")
+    assert got == ["A new bridge", (body * 2).strip(), f"He said <yes> & left. {body}".strip(), body.strip()]
+
+
+def test_decoding_is_the_best_consistent_choice():
+    """Against all choices of small trees; a chosen node's parent is chosen."""
+    rng = Random(2)
+    for _ in range(60):
+        n = rng.randint(1, 8)
+        parent = [-1, *(rng.randrange(i) for i in range(1, n))]
+        p = np.array([rng.uniform(0.02, 0.98) for _ in range(n)])
+        able = [c for c in product((0, 1), repeat=n) if all(i == 0 or c[i] <= c[parent[i]] for i in range(n))]
+        best = max(able, key=lambda c: sum(np.log(p[i] if c[i] else 1 - p[i]) for i in range(n)))
+        assert extract.decode(parent, p).astype(int).tolist() == list(best)
+
+
+def test_trees_equal_sparks(spark):
+    """The arrays give what Spark's own model gives."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 4)).round(2)
+    df = spark.createDataFrame([(float(a[0] * a[1] > 0.1 or a[2] > 1), a.tolist()) for a in x], "label double, f array<double>")
+    df = df.withColumn("features", array_to_vector("f"))
+    model = GBTClassifier(maxIter=4, maxDepth=3, seed=1).fit(df)
+    mine = extract.Forest([t.toDebugString for t in model.trees], list(model.treeWeights))
+    theirs = [r["probability"][1] for r in model.transform(df).collect()]
+    assert np.allclose(mine.probability(x), theirs)
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("a<p>b<b>c</b> d<br>e</p>f", ["a", "bc d e", "f"]),
+    ("<ul><li>1<li>2<ul><li>3</ul><li>4</ul>", ["1", "2", "3", "4"]),
+    ("<script>if (a<b) '</p>'</script>x<style>y", ["x"]),
+    ("<!-- <p>no</p> -->x<!>y<?z?>", ["xy"]),
+    ("a &lt;b&gt; &amp &am &#233; &nbsp; c", ["a <b> & &am é c"]),
+    ("1 < 2 <3", ["1 < 2 <3"]),
+    ("x</p></div>y<td>z", ["x", "y", "z"]),
+    ("<p title='>'>a</p><p title=\"never ends>b", ["a"]),
+    ("<select><option>no</select>x<button>y", ["xy"]),
+    ("<table><tr><td>a<td>b<tr><td>c<p>d</table>e", ["a", "b", "c", "d", "e"]),
+    ("", []), (None, []),
+])
+def test_reader(page, blocks):
+    assert texts(read_page(page)) == blocks
+
+
+def test_very_deep_and_long_pages():
+    deep = read_page("<div>" * 50_000 + "x" + "</div>" * 50_000)
+    assert max(x.depth for x in deep) < MAX_DEPTH and texts(deep) == ["x"]
+    assert len(texts(read_page("<p>a" * 200_000))) == 200_000
+    for odd in ('<a "' * 100_000, "<script>" * 100_000, "<select>" * 100_000, "<section><table>" + "<div>" * 60_000 + "</section>" * 60_000):
+        read_page(odd)
+
+
+def test_odd_tables(spark, forest):
+    schema = "page_id long, url string, html string, text string, N_CHARS string"
+    rows = [(1, "u", None, "t", "c"), (1, "u", "", "t", "c"), (None, None, "<p>", "t", "c"), (2, "u", "<article><p>" + "word " * 300_000, "t", "c")]
+    out = extract.extract(spark.createDataFrame(rows, schema), forest)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[3])
+    assert [r[2] for r in got[:3]] == ["", "", ""] and got[3][2] == ("word " * 300_000).strip() and got[3][3] == 1_499_999
+    assert extract.main_texts(spark.createDataFrame([], schema)).collect() == []
+    # no article and no paragraph: all text
+    plain = spark.createDataFrame([(1, "u", "<div>a</div>b", "", "")] * 2, schema)
+    assert [r["text"] for r in extract.main_texts(plain).collect()] == ["a\n\nb"] * 2
