@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prefspark import constants as K
@@ -99,19 +99,27 @@ def compare_models(macro: DataFrame) -> DataFrame:
     return macro.select("label", "avg_acc", F.row_number().over(w).cast("long").alias("position"))
 
 
+def _undefined(ll: Column) -> Column:
+    """A score that says nothing about the order or the share of a choice: null, NaN or +inf."""
+    return ll.isNull() | F.isnan(ll) | (ll == F.lit(float("inf")))
+
+
 def choice_accuracy(mc: DataFrame) -> DataFrame:
     """Per subject, share of questions whose highest-scored choice is the gold one.
 
     Ties on the score go to the smaller choice id. Both aggregates are
     partial (map-side), so a question with very many choices does not skew.
+    A question with an undefined score (null, NaN, +inf) has no highest one:
+    it is left out and counted in ``n_undefined``.
     """
     q = mc.groupBy("subject", "qid").agg(
         F.max_by("choice", F.struct(F.col("ll"), -F.col("choice"))).alias("pred"),
-        F.first("gold").alias("gold"))
-    hit = F.col("pred") == F.col("gold")
+        F.first("gold").alias("gold"), F.max(_undefined(F.col("ll"))).alias("undefined"))
+    hit = (F.col("pred") == F.col("gold")) & ~F.col("undefined")
     return q.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("n_questions"),
-        (F.count_if(hit).cast("double") / F.count(F.lit(1)).cast("double")).alias("accuracy"))
+        F.count_if(~F.col("undefined")).alias("n_questions"),
+        F.try_divide(F.count_if(hit).cast("double"), F.count_if(~F.col("undefined")).cast("double")).alias("accuracy"),
+        F.count_if("undefined").alias("n_undefined"))
 
 
 _BAND = 500.0  # exp(x) for x in [0, 500) stays far inside the double range
@@ -124,22 +132,28 @@ def true_mass(mc: DataFrame) -> DataFrame:
     per (question, band of ll) as exp(ll - band), which lies in [1, e^500);
     the few band rows of each question are then re-based to its top band.
     A question with a third of all rows is combined like any other. A question
-    whose scores are all -inf has no distribution and is left out of the mean.
+    whose scores are all -inf has no distribution and is left out of the mean;
+    one with an undefined score (null, NaN, +inf) is left out of mean and
+    number and counted in ``n_undefined``: the sums carry the number of
+    undefined scores, which adds up like they do.
     """
-    band = F.floor(F.col("ll") / F.lit(_BAND)) * F.lit(_BAND)
-    e = F.exp(F.col("ll") - F.col("_b"))
+    undefined = _undefined(F.col("ll"))
+    band = F.when(~undefined, F.floor(F.col("ll") / F.lit(_BAND)) * F.lit(_BAND))
+    e = F.when(~undefined, F.exp(F.col("ll") - F.col("_b")))
     banded = (mc.withColumn("_b", band)
               .groupBy("subject", "qid", "_b")
               .agg(F.sum(F.when(F.col("is_true"), e).otherwise(F.lit(0.0))).alias("_t"),
-                   F.sum(e).alias("_z")))
+                   F.sum(e).alias("_z"), F.count_if(undefined).alias("_u")))
     top = banded.groupBy("subject", "qid").agg(F.max("_b").alias("_m"))
     scale = F.exp(F.col("_b") - F.col("_m"))
     q = (banded.join(top, ["subject", "qid"])
          .groupBy("subject", "qid")
-         .agg(F.sum(F.col("_t") * scale).alias("_t"), F.sum(F.col("_z") * scale).alias("_z")))
+         .agg(F.sum(F.col("_t") * scale).alias("_t"), F.sum(F.col("_z") * scale).alias("_z"), F.sum("_u").alias("_u")))
+    defined = F.col("_u") == 0
     return q.groupBy("subject").agg(
-        F.count(F.lit(1)).alias("n_questions"),
-        F.avg(F.try_divide("_t", "_z")).alias("mc2"))
+        F.count_if(defined).alias("n_questions"),
+        F.avg(F.when(defined, F.try_divide("_t", "_z"))).alias("mc2"),
+        F.count_if(~defined).alias("n_undefined"))
 
 
 def instruction_metrics(inst: DataFrame) -> DataFrame:

@@ -361,7 +361,7 @@ def q_compare_models(spark, sf):
 
 
 def q_choice_accuracy(spark, sf):
-    return metrics.choice_accuracy(FX.fx_mc(spark, sf))
+    return metrics.choice_accuracy(FX.fx_mc(spark, sf)).select("subject", "n_questions", "accuracy")
 
 
 def q_true_mass(spark, sf):

@@ -6,6 +6,9 @@ Writers produce part files (JSON Lines or Parquet), never one document.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -18,7 +21,6 @@ SCORED_SCHEMA = ("id bigint, instruction string, input string, chosen string, "
                  "rejected string, score_datainf double")
 PAIR_SCHEMA = "rank bigint, instruction string, input string, chosen string, rejected string"
 PROMPT_SCHEMA = "idx bigint, instruction string, output string"
-SUBJECT_FILE_SCHEMA = "results map<string, struct<`acc,none`: double>>"
 MATH_ROW_SCHEMA = ("idx bigint, question string, gold string, prediction string, "
                    "correct boolean, generated_text string")
 MATH_FILE_SCHEMA = (f"accuracy double, correct bigint, total bigint, "
@@ -31,6 +33,35 @@ def _reader(spark: SparkSession, schema: str, fmt: str):
     return spark.read.schema(schema).format(fmt)
 
 
+def read_json_rows(spark: SparkSession, path, schema: str, on_invalid: str = "raise", quarantine: str | None = None) -> DataFrame:
+    """JSON Lines with ``schema``; a line that is no object of that shape never becomes a row.
+
+    raise: running the query fails, naming the file and the line.
+    quarantine: such lines are appended, as (file, record) rows in Parquet, to
+    the folder ``quarantine`` (``read_quarantine``), and the others are read.
+    Blank lines are skipped; a key that is absent reads as null.
+    """
+    if on_invalid not in ("raise", "quarantine") or (on_invalid == "quarantine") != (quarantine is not None):
+        raise ValueError("on_invalid must be 'raise', or 'quarantine' with the folder ``quarantine``")
+    parsed = F.from_json("value", f"{schema}, _invalid string", {"columnNameOfCorruptRecord": "_invalid", "mode": "PERMISSIVE"})
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("r", parsed)
+    names = [c for c in lines.select("r.*").columns if c != "_invalid"]
+    bad = F.col("r").isNull() | F.col("r._invalid").isNotNull()
+    file = F.col("_metadata.file_path")
+    if on_invalid == "raise":
+        fail = F.raise_error(F.concat(F.lit("invalid JSON record in "), file, F.lit(": "), F.substring("value", 1, 200)))
+        good = lines.where(F.when(bad, fail.cast("boolean")).otherwise(F.lit(True)))  # a filter is never pruned
+    else:
+        lines.where(bad).select(file.alias("file"), F.col("value").alias("record")).write.mode("append").parquet(quarantine)
+        good = lines.where(~bad)
+    return good.select(*[F.col(f"r.`{c}`").alias(c) for c in names])
+
+
+def read_quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records): invalid lines per file that ``read_json_rows`` has put aside."""
+    return spark.read.schema("file string, record string").parquet(path).groupBy("file").agg(F.count("*").alias("records"))
+
+
 def with_position_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Dense positions 0..n-1, in file order, for rows read from id-less files.
 
@@ -55,26 +86,44 @@ def with_position_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
 PREF_LONG_SCHEMA = "id bigint, side string, turn bigint, role string, text string"
 
 
-def read_preferences(spark: SparkSession, path: str, fmt: str = "parquet",
-                     layout: str = "nested", assign_ids: bool = False) -> DataFrame:
+def read_preferences(spark: SparkSession, path: str, fmt: str = "parquet", layout: str = "nested",
+                     assign_ids: bool = False, on_invalid: str = "raise", quarantine: str | None = None) -> DataFrame:
     """Preference records.
 
     nested: (id, prompt, chosen, rejected) with message arrays; long: one
-    row per message (id, side, turn, role, text).
+    row per message (id, side, turn, role, text). Invalid lines of JSON files
+    are handled as by ``read_json_rows``.
     """
     schema = {"nested": PREF_SCHEMA, "long": PREF_LONG_SCHEMA}[layout]
-    df = _reader(spark, schema, fmt).load(path)
+    df = read_json_rows(spark, path, schema, on_invalid, quarantine) if fmt == "json" else _reader(spark, schema, fmt).load(path)
     return with_position_ids(df) if (assign_ids and layout == "nested") else df
 
 
-def limit_first(df: DataFrame, n: int | None, order: str | list[str] = "id") -> DataFrame:
-    """The first min(n, len) rows by ``order``; None and 0 mean all rows.
+HEAP_ROWS = 100_000  # up to so many rows, a heap of them per task is gathered in one task
+
 
-    orderBy + limit plans TakeOrderedAndProject: a heap of n per partition.
+def limit_first(df: DataFrame, n: int | None, order: str | list[str] = "id", heap_rows: int = HEAP_ROWS) -> DataFrame:
+    """The first min(n, len) rows by ``order`` (nulls first); None and 0 mean all rows.
+
+    Up to ``heap_rows`` orderBy + limit plans TakeOrderedAndProject: a heap of
+    n per task, gathered in one. Beyond, rows are dealt into sorted ranges,
+    written once; the ranges' counts tell which are taken whole, and the one
+    that the limit falls into is cut by place: no task holds more than a range.
+    Of rows that tie at the limit any may be taken, so order by a unique key.
     """
     if not n:
         return df
-    return df.orderBy(order if isinstance(order, list) else [order]).limit(int(n))
+    order = order if isinstance(order, list) else [order]
+    if n <= heap_rows:
+        return df.orderBy(order).limit(int(n))
+    keys = [F.asc_nulls_first(c) if isinstance(c, str) else c for c in order]
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt = materialize(dealt.withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # one row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("_range", "_first", before.alias("_before")).where(F.col("_before") < n)
+    taken = dealt.join(F.broadcast(ranges), "_range").where(F.col("_before") + F.col("_at") - F.col("_first") < n)
+    return taken.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def normalize_scores(df: DataFrame, score_col: str = "score_datainf") -> DataFrame:
@@ -85,25 +134,27 @@ def normalize_scores(df: DataFrame, score_col: str = "score_datainf") -> DataFra
     return out.withColumn(score_col, F.when(F.isnan(s), F.lit(None).cast("double")).otherwise(s))
 
 
-def read_scores(spark: SparkSession, path: str, assign_ids: bool = False) -> DataFrame:
+def read_scores(spark: SparkSession, path: str, assign_ids: bool = False, on_invalid: str = "raise",
+                quarantine: str | None = None) -> DataFrame:
     """S3: JSON Lines score rows with the S3 normalisation.
 
-    ``assign_ids`` gives files without an ``id`` field positional ids.
+    ``assign_ids`` gives files without an ``id`` field positional ids. A
+    broken line never becomes a scored row: see ``read_json_rows``.
     """
-    df = spark.read.schema(SCORED_SCHEMA).json(path)
+    df = read_json_rows(spark, path, SCORED_SCHEMA, on_invalid, quarantine)
     if assign_ids:
         df = with_position_ids(df)
     return normalize_scores(df)
 
 
 def write_scores(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """JSON Lines part files, UTF-8 with non-ASCII unescaped."""
-    df.write.mode(mode).json(path)
+    """JSON Lines part files, UTF-8 with non-ASCII unescaped; every record has every key, null where it has no value."""
+    df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
 def write_pairs(df: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
-    """Pair records as JSON Lines (or Parquet) part files."""
-    df.write.mode(mode).format(fmt).save(path)
+    """Pair records as JSON Lines (or Parquet) part files; every record has every key."""
+    df.write.mode(mode).format(fmt).option("ignoreNullFields", False).save(path)
 
 
 def read_pairs(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
@@ -120,6 +171,11 @@ def _first_existing(spark: SparkSession, reader, candidates: list[str]) -> DataF
     raise FileNotFoundError(f"no result file under {candidates[0]}") from err
 
 
+def _plain_path(uri: str) -> str:
+    """The path of a file's URI, whatever number of slashes follow its scheme."""
+    return unquote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", uri))
+
+
 SUBJECT_LONG_SCHEMA = "task string, acc double, label string"
 
 
@@ -129,8 +185,11 @@ def read_subject_results(spark: SparkSession, path: str, file_name: str = "mmlu_
 
     documents: ``path`` is a result file, a folder holding ``file_name``, or a
     parent whose children each hold one (one level down); the label is the
-    parent folder's name and a task without ``acc,none`` gives a null acc.
-    Raises when there is no such file.
+    parent folder's name, as it is spelt on disk, and a task without
+    ``acc,none`` gives a null acc. Every document gives a row: one without
+    results has a null task and acc, so its label is not lost. Raises when
+    there is no such file, and, when run, for a file that is no such document,
+    naming its path (an empty file at once).
     long: what ``write_subject_results`` produces (``label=<x>/`` folders of
     (task, acc) rows).
     """
@@ -141,14 +200,24 @@ def read_subject_results(spark: SparkSession, path: str, file_name: str = "mmlu_
         raise ValueError("layout must be 'documents' or 'long'")
 
     def reader(p):
-        return (spark.read.schema(SUBJECT_FILE_SCHEMA).option("multiLine", True).json(p)
-                .select(F.col("_metadata.file_path").alias("_f"), "results"))
+        return spark.read.text(p, wholetext=True).select(F.col("_metadata.file_path").alias("_f"), "value")
 
     cands = [base] if base.endswith(".json") else [f"{base}/{file_name}", f"{base}/*/{file_name}"]
-    df = _first_existing(spark, reader, cands)
-    label = F.regexp_extract("_f", r"([^/]+)/[^/]+$", 1)
-    return df.select(label.alias("label"), F.explode("results").alias("task", "r")) \
-        .select("label", "task", F.col("r")["acc,none"].alias("acc"))
+    files = _first_existing(spark, reader, cands)
+    # Spark skips files without a byte; the listing, one name per evaluated model, is on the driver anyway
+    empty = {_plain_path(f) for f in files.inputFiles()} - {_plain_path(r["_f"]) for r in files.select("_f").collect()}
+    if empty:
+        raise ValueError(f"not a subject result document: {min(empty)}")
+    # values stay JSON text here: what a task holds besides its accuracy has any shape
+    parsed = F.from_json("value", "results map<string,string>, _invalid string", {"columnNameOfCorruptRecord": "_invalid"})
+    path_of = F.url_decode(F.replace("_f", F.lit("+"), F.lit("%2B")))  # file paths are URIs: only %xx stands for something else
+    docs = files.withColumn("r", parsed).withColumn("_p", path_of)
+    bad = F.col("r").isNull() | F.col("r._invalid").isNotNull()
+    fail = F.raise_error(F.concat(F.lit("not a subject result document: "), F.col("_p"))).cast("boolean")
+    docs = docs.where(F.when(bad, fail).otherwise(F.lit(True)))  # a filter is never pruned
+    rows = docs.select(F.regexp_extract("_p", r"([^/]+)/[^/]+$", 1).alias("label"), F.explode_outer("r.results").alias("task", "v"))
+    acc = F.get_json_object("v", "$['acc,none']")
+    return rows.select("label", "task", acc.try_cast("double").alias("acc"))
 
 
 def write_subject_results(acc: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -165,8 +234,11 @@ def read_math_results(spark: SparkSession, path: str) -> DataFrame:
 
     Reads the part files written by ``write_metrics`` (``<path>/results``),
     or a single result document ``{accuracy, correct, total, results[]}``.
+    Part files of a run that broke off raise.
     """
     base = path.rstrip("/")
+    if not base.endswith(".json") and _exists(spark, f"{base}/started") and not is_complete(spark, base):
+        raise ValueError(f"{base}: the run that wrote it has not ended")
     if base.endswith(".json"):
         doc = spark.read.schema(MATH_FILE_SCHEMA).option("multiLine", True).json(base)
         return doc.select(F.posexplode("results").alias("idx", "r")).select(F.col("idx").cast("long").alias("idx"), "r.*")
@@ -179,19 +251,31 @@ def read_math_document(spark: SparkSession, path: str) -> DataFrame:
     return doc.select("accuracy", "correct", "total", "config")
 
 
-def read_prompts(spark: SparkSession, path_or_df, fmt: str = "json",
-                 assign_ids: bool = False) -> DataFrame:
+def read_prompts(spark: SparkSession, path_or_df, fmt: str = "json", assign_ids: bool = False,
+                 on_invalid: str = "raise", quarantine: str | None = None) -> DataFrame:
     """Prompts with their reference output; a missing output reads as "".
 
     ``assign_ids`` gives files without an ``idx`` field positional ids.
+    Invalid lines of JSON files are handled as by ``read_json_rows``.
     """
-    df = path_or_df if isinstance(path_or_df, DataFrame) else \
-        _reader(spark, PROMPT_SCHEMA, fmt).load(path_or_df)
+    if isinstance(path_or_df, DataFrame):
+        df = path_or_df
+    elif fmt == "json":
+        df = read_json_rows(spark, path_or_df, PROMPT_SCHEMA, on_invalid, quarantine)
+    else:
+        df = _reader(spark, PROMPT_SCHEMA, fmt).load(path_or_df)
     if assign_ids:
         df = with_position_ids(df, "idx")
     return df.select("idx", "instruction", F.coalesce(F.col("output"), F.lit("")).alias("output"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return spark.read.schema("rows long").parquet(path).limit(1).count() > 0
+    except AnalysisException:
+        return False
+
+
 def write_metrics(metrics, results: DataFrame, path: str,
                   mode: str = "errorifexists") -> None:
     """Metrics (a one-row table) and per-row results, side by side as Parquet.
@@ -199,12 +283,27 @@ def write_metrics(metrics, results: DataFrame, path: str,
     ``metrics`` is a DataFrame, or a function of the results: then the rows
     are written first and the metrics are computed from the written table,
     so the per-row work runs once.
+
+    ``started`` is written first and ``complete`` (the number of result rows)
+    last. A folder that a run has started and not completed is written anew
+    whatever the ``mode``, so a run that broke off is simply run again.
     """
-    base = path.rstrip("/")
-    results.write.mode(mode).parquet(f"{base}/results")
-    if callable(metrics):
-        metrics = metrics(results.sparkSession.read.parquet(f"{base}/results"))
-    metrics.write.mode(mode).parquet(f"{base}/metrics")
+    base, spark = path.rstrip("/"), results.sparkSession
+    broken_off = _exists(spark, f"{base}/started") and not _exists(spark, f"{base}/complete")
+    how = "overwrite" if broken_off or mode == "overwrite" else mode
+    marker = spark.createDataFrame([(0,)], "rows long").coalesce(1)
+    if how == "overwrite":  # from here on the folder counts as not complete
+        marker.limit(0).write.mode("overwrite").parquet(f"{base}/complete")
+    marker.write.mode(how).parquet(f"{base}/started")
+    results.write.mode(how).parquet(f"{base}/results")
+    written = spark.read.parquet(f"{base}/results")
+    (metrics(written) if callable(metrics) else metrics).write.mode(how).parquet(f"{base}/metrics")
+    written.agg(F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{base}/complete")
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether ``write_metrics`` has written all of its parts under ``path``."""
+    return _exists(spark, f"{path.rstrip('/')}/complete")
 
 
 REGISTRY_SCHEMA = "key string, file_name string, ranking boolean, columns map<string,string>"
