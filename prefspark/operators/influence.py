@@ -4,9 +4,9 @@ score(g) = (g.v) / (lambda + |g|^2), the first-order Woodbury form of
 g . H^-1 v with H ~ lambda*I + g g^T; algebraically equal to
 g . (v - c g) / lambda with c = (g.v) / (lambda + |g|^2).
 
-v (the validation mean, one broadcast row) and lambda (from the training
-rows alone, a scalar subquery) are aggregates attached to one scan of the
-training gradients, which replaces the two passes of a per-row loop.
+One scan of the training gradients gives, per row, g.v and |g|^2; this narrow
+table is written, and both lambda (the mean of |g|^2) and the scores come from
+it. v, the validation mean, is one broadcast row.
 """
 
 from __future__ import annotations
@@ -74,16 +74,23 @@ def influence_scores(train: DataFrame, val: DataFrame, id_col: str = "id", grad_
     ``influence_scores_blocked``.
     """
     v = materialize(mean_vector_row(val, grad_col), "mean-vector")
-    lam = damping(train, grad_col, divisor).scalar()  # scalar subquery, evaluated once
     # v is one written row of dimension size: broadcast once per executor, if it is as small as that takes.
     width = v.select(F.size("v")).first()[0]
     if width * 8 > max_broadcast_bytes:
         raise ValueError("influence_scores: gradients are too wide to broadcast their mean; "
                          "store slices and use influence_scores_blocked")
     x = train.select(id_col, grad_col).crossJoin(F.broadcast(v))
-    g = F.col(grad_col)
-    score = F.try_divide(dot(g, F.col("v")), lam + sq_norm(g))
-    return x.select(F.col(id_col), F.when(g.isNull(), F.lit(0.0)).otherwise(score).alias("score"))
+    products = x.select(F.col(id_col), dot(F.col(grad_col), F.col("v")).alias("gv"), sq_norm(F.col(grad_col)).alias("gg"))
+    return _scores_of(products, id_col, divisor, "damping: no gradients in training set")
+
+
+def _scores_of(products: DataFrame, id_col: str, divisor: float, none: str) -> DataFrame:
+    """(id, score) from (id, gv, gg), which is written once: the gradients are not read again for lambda."""
+    narrow = materialize(products, "gradient-products")
+    mean = narrow.agg((F.avg("gg") / F.lit(float(divisor))).alias("lam"), F.count("gg").alias("n"))
+    lam = mean.select(_or_error("lam", F.col("n") > 0, none).alias("lam")).scalar()  # scalar subquery, evaluated once
+    score = F.try_divide(F.col("gv"), lam + F.col("gg"))
+    return narrow.select(F.col(id_col), F.when(F.col("gg").isNull(), F.lit(0.0)).otherwise(score).alias("score"))
 
 
 def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: str = "split",
@@ -123,12 +130,7 @@ def influence_scores_blocked(blocks: DataFrame, id_col: str = "id", split_col: s
                          dot(vals_col, "vb").alias("gv"),
                          sq_norm(vals_col).alias("gg")))
     per_id = per_block.groupBy(id_col).agg(F.sum("gv").alias("gv"), F.sum("gg").alias("gg"))
-    mean = per_id.agg((F.avg("gg") / F.lit(float(divisor))).alias("lam"), F.count("gg").alias("n"))
-    lam = mean.select(_or_error("lam", F.col("n") > 0, "influence_scores_blocked: no gradients in training set")
-                      .alias("lam")).scalar()
-    score = F.try_divide(F.col("gv"), lam + F.col("gg"))
-    return per_id.select(F.col(id_col),
-                    F.when(F.col("gg").isNull(), F.lit(0.0)).otherwise(score).alias("score"))
+    return _scores_of(per_id, id_col, divisor, "influence_scores_blocked: no gradients in training set")
 
 
 def _k_extreme(scored: DataFrame, k: int, largest: bool, score_col: str, id_col: str,

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from prefspark import constants as K
 from prefspark.functions.extract import parse_verdict
 from prefspark.functions.text import render_judge_prompt
+from prefspark.session import materialize
 
 JUDGMENT_COLS = ["idx", "instruction", "model_output", "reference_output", "winner",
                  "model_win", "model_len", "ref_len", "length_diff"]
@@ -119,19 +120,17 @@ def lc_winrate(judged: DataFrame, reg_c: float = 1.0, max_iter: int = 1000) -> D
     One-class data raises, as a logistic fit must.
     """
     feats = length_features(judged) if "log_model_len" not in judged.columns else judged
-    data = feats.select(
+    # written once: a lost executor cannot bring the fit other rows than the counts
+    data = materialize(feats.select(
         F.col("model_win").cast("double").alias("label"),
-        *[F.col(c).cast("double").alias(c) for c in K.LENGTH_FEATURES]).persist()
-    try:
-        stats = data.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("wins"),
-                         F.avg("log_model_len").alias("mlm"),
-                         F.avg("log_ref_len").alias("mlr")).first()
-        n, wins = int(stats["n"]), int(stats["wins"] or 0)
-        if n == 0 or wins in (0, n):
-            raise ValueError(f"lc_winrate needs both wins and losses (n={n}, wins={wins})")
-        coefs, b0 = fit_penalised_logit(data, K.LENGTH_FEATURES, reg_c, max_iter)
-    finally:
-        data.unpersist()
+        *[F.col(c).cast("double").alias(c) for c in K.LENGTH_FEATURES]), "length-features")
+    stats = data.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("wins"),
+                     F.avg("log_model_len").alias("mlm"),
+                     F.avg("log_ref_len").alias("mlr")).first()
+    n, wins = int(stats["n"]), int(stats["wins"] or 0)
+    if n == 0 or wins in (0, n):
+        raise ValueError(f"lc_winrate needs both wins and losses (n={n}, wins={wins})")
+    coefs, b0 = fit_penalised_logit(data, K.LENGTH_FEATURES, reg_c, max_iter)
     z = b0 + coefs[2] * float(stats["mlm"]) + coefs[3] * float(stats["mlr"])
     lc = 100.0 / (1.0 + math.exp(-z)) if z >= 0 else 100.0 * math.exp(z) / (1.0 + math.exp(z))
     names = K.LENGTH_FEATURES + ["intercept"]

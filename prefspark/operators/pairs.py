@@ -156,6 +156,25 @@ def _next_giver() -> Column:
     return F.pmod(F.col("rank") - 1, F.col("_n"))
 
 
+def require_unique(keys: DataFrame, col: str, name: str) -> None:
+    """Raises, naming an id, if one is null or repeated: a repeated id would pair its rows with each other.
+
+    One shuffle of the narrow key table; equal ids are summed before it.
+    """
+    odd = keys.groupBy(col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(col).isNull()).limit(1).collect()
+    if odd:
+        raise ValueError(f"{name} must be unique and not null: {odd[0][0]!r} occurs {odd[0][1]} times "
+                         "(rows without such an id: by_position=True)")
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """``df``, written once, with its rows' places as ``_place``: ids for rows that have none of their own.
+
+    Places ascend in the order of the rows, so that ties go to the earlier row.
+    """
+    return materialize(df.withColumn("_place", F.monotonically_increasing_id()), "placed")
+
+
 def ranked_records(records: DataFrame, keys: DataFrame, score_col: str, id_col: str = "id") -> DataFrame:
     """Ranked rows of ``records`` (the wide side) by the scores in ``keys`` (id, score), for ``ranked=``."""
     return _ranked(records, score_col, id_col, keys=keys)
@@ -173,6 +192,7 @@ def _ranked(scored: DataFrame, score_col: str, id_col: str,
     keys = (scored if keys is None else keys).select(F.col(id_col).alias("_id"), F.col(score_col).alias("_s"))
     if materialize_keys:
         keys = materialize(keys, "rank-keys")
+    require_unique(keys, "_id", id_col)
     ranked = rank_by_score(keys, score_col="_s", id_col="_id", total_col="_n")
     payload = scored.select(F.col(id_col).alias("_id"), "instruction",
                             (F.col("input") if "input" in scored.columns else F.lit("")).alias("input"),
@@ -180,35 +200,42 @@ def _ranked(scored: DataFrame, score_col: str, id_col: str,
     return ranked.select("_id", "rank", "_n").join(payload, "_id")
 
 
+def _ranked_rows(scored: DataFrame, score_col: str, id_col: str, by_position: bool) -> DataFrame:
+    return _ranked(by_place(scored), score_col, "_place") if by_position else _ranked(scored, score_col, id_col)
+
+
 def symmetric_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col: str = "id",
-                    keep: str = "all", ranked: DataFrame | None = None) -> DataFrame:
+                    keep: str = "all", ranked: DataFrame | None = None, by_position: bool = False) -> DataFrame:
     """Rank i (chosen) against rank n-1-i (its chosen text becomes rejected).
 
     keep="all" reproduces every i (the lower half has the worse text as
     chosen, an odd middle row pairs with itself); keep="upper_half" keeps
     only i < n-1-i.
+
+    n rows give n pairs. Ids must be unique (checked); with ``by_position``
+    rows go by their place instead, and ids may repeat, be null or be absent.
     """
     if keep not in ("all", "upper_half"):
         raise ValueError("keep must be 'all' or 'upper_half'")
-    r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
+    r = ranked if ranked is not None else _ranked_rows(scored, score_col, id_col, by_position)
     return _pair_blocks(r, ["symmetric"], upper_half=keep == "upper_half").select(*_OUT)
 
 
 def next_neighbor_pairs(scored: DataFrame, score_col: str = "score_datainf", id_col: str = "id",
-                        ranked: DataFrame | None = None) -> DataFrame:
-    """D3: rank i against rank (i+1) mod n (the last row wraps to the best)."""
-    r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
+                        ranked: DataFrame | None = None, by_position: bool = False) -> DataFrame:
+    """D3: rank i against rank (i+1) mod n (the last row wraps to the best); ids as in ``symmetric_pairs``."""
+    r = ranked if ranked is not None else _ranked_rows(scored, score_col, id_col, by_position)
     return _pair_blocks(r, ["next_neighbor"]).select(*_OUT)
 
 
 def pairs(scored: DataFrame, strategy: str = "both", score_col: str = "score_datainf",
-          id_col: str = "id", ranked: DataFrame | None = None) -> DataFrame:
-    """One table with a ``strategy`` column; rank once, shuffle once for all strategies."""
+          id_col: str = "id", ranked: DataFrame | None = None, by_position: bool = False) -> DataFrame:
+    """One table with a ``strategy`` column; rank once, shuffle once for all strategies; ids as in ``symmetric_pairs``."""
     plans = {"symmetric": ["symmetric"], "next_neighbor": ["next_neighbor"],
              "both": ["symmetric", "next_neighbor"]}
     if strategy not in plans:
         raise ValueError("strategy must be symmetric, next_neighbor or both")
-    r = ranked if ranked is not None else _ranked(scored, score_col, id_col)
+    r = ranked if ranked is not None else _ranked_rows(scored, score_col, id_col, by_position)
     return _pair_blocks(r, plans[strategy]).select("strategy", *_OUT)
 
 
@@ -225,7 +252,7 @@ def _hash_keys(h: Column) -> list[Column]:
 
 
 def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str = "chosen",
-                      id_col: str = "id", materialize_keys: bool = True) -> DataFrame:
+                      id_col: str = "id", materialize_keys: bool = True, by_position: bool = False) -> DataFrame:
     """rejected = another row's chosen text, each used once, never the row's own text.
 
     Rows are ordered by (md5("seed:text"), id), so equal texts sit next to
@@ -236,11 +263,18 @@ def self_pairs_random(df: DataFrame, seed: int = K.SELF_PAIR_SEED, text_col: str
     Texts are hashed once into a narrow (id, hash) table (written to the
     checkpoint folder unless ``materialize_keys`` is False); the rank and the
     multiplicity read only that table, and the texts join the ranked ids once.
+    n rows give n pairs: ids must be unique (checked), or rows go
+    ``by_position``, and the id column comes out as it was given.
     """
+    if by_position:
+        placed = by_place(df)
+        out = self_pairs_random(placed, seed, text_col, "_place", materialize_keys)
+        return out.join(placed.select("_place", id_col), "_place").select(id_col, "instruction", "input", "chosen", "rejected")
     h, _ = self_pair_order_keys(text_col, seed)
     keys = df.select(F.col(id_col).alias("_id"), h.alias("_h"))
     if materialize_keys:
         keys = materialize(keys, "self-pair-keys")
+    require_unique(keys, "_id", id_col)
     ranked = global_rank(keys, _hash_keys(F.col("_h")), id_col="_id", rank_col="_r",
                          total_col="_n")
     # Largest multiplicity of one text: a partial aggregate on the 32-char hash.

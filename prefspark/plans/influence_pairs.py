@@ -1,7 +1,7 @@
 """Flow A: gradients -> influence scores -> global rank -> preference pairs.
 
-One scan of the validation gradients (mean vector) and two of the training
-gradients (damping, scores). Only the narrow (id, score) table
+One scan of the validation gradients (mean vector) and one of the training
+gradients (their products, from which damping and scores follow). Only the narrow (id, score) table
 is ranked: ``pairs`` writes it once (float sums must not be recomputed
 between the rank's counting and numbering passes) and the rank's extra
 passes read just those columns. Texts join the ranked ids once, then one
