@@ -11,8 +11,7 @@
    fill its last bins, others have.
 
 Token ids come from a public tokenizer's file, which is read on the driver and
-sent to the tasks.  Tokenising is memoised by word: no token spans the place
-between a non-space and a space that is followed by a non-space.
+sent to the tasks.
 
 Defined cases: a null text counts as empty and becomes one piece of the end id;
 repeated rows are packed as often as they occur; an empty table gives an empty
@@ -21,26 +20,25 @@ table.  Only the id and text columns are used, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import json
 import os
-import re
-from array import array
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from prefspark.llm.common import release_memory, text_slices
 from prefspark.session import materialize
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 CAPACITY, END = 2048, 0
 SHARD_ROWS, ROUNDS = 8_192, 3
 NEARLY_FULL = 8  # tokens that a bin may lack to be left alone
-MEMO_PIECES, MEMO_CHARS, GROUP_CHARS = 400_000, 48, 4_000_000
-
-_SPLIT = re.compile(r"(?<=\S)(?= \S)")
 # Fixed value: how a byte-level vocabulary's texts are cut into words.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -53,39 +51,50 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
-class Memo(dict):
-    """Ids of the pieces of text between single spaces, each with the space before it; None: not known by itself.
+def byte_level_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of the tokens' bytes, if the file is a plain byte-level vocabulary whose merges are ranked by their ids; else None.
 
-    Two generations: when one is full it becomes the older one, from which
-    pieces that are met again are taken over.
+    Such a file cuts texts by ``WORDS``, changes nothing in them before or
+    after, and each of its tokens is one byte or what one merge makes, in the
+    order of the ids: then the lowest id of all mergeable pairs is the first merge.
     """
-
-    def __init__(self, ids_of):
-        super().__init__()
-        self.ids_of, self.older = ids_of, {}
-
-    def __missing__(self, piece: str) -> bytes | None:
-        if len(self) >= MEMO_PIECES:
-            self.older = dict(self)
-            self.clear()
-        ids = self.older[piece] if piece in self.older else self.ids_of(piece)
-        if len(piece) <= MEMO_CHARS:
-            self[piece] = ids
-        return ids
+    model, cut = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    vocab, letters = model.get("vocab") or {}, {c: b for b, c in byte_letters().items()}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if (model.get("type") != "BPE" or any(model.get(k) for k in odd) or spec.get("normalizer") or spec.get("post_processor")
+            or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex")):
+        return None
+    made = [vocab.get("".join(m.split(" ") if isinstance(m, str) else m), -1) for m in model.get("merges") or []]
+    known = set(made) | {vocab.get(c, -1) for c in letters}
+    if -1 in known or len(known) != len(vocab) or made != sorted(made) or min(made, default=0) < max(vocab[c] for c in letters):
+        return None
+    return {bytes(map(letters.__getitem__, t)): i for t, i in vocab.items()}
 
 
 class Encoder:
-    """Token ids of texts as little-endian bytes, four for each id; memoised within a worker."""
+    """Token ids of texts as little-endian bytes, four for each id.
+
+    Ids are those of the tokenizer file. A plain byte-level vocabulary is
+    applied by ``tiktoken`` from the file's own ranks, which gives the same ids
+    in less than half the time and remembers no words; any other file, and
+    texts that hold a special token, go through ``tokenizers``.
+    """
 
     def __init__(self, spec: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.letters = byte_letters()
-        self.pattern = regex.compile(WORDS)
-        self.memo, self.inner = Memo(self._piece), Memo(self._token)
+        import tiktoken
+        self.spec, content = spec, json.loads(spec)
+        self.special = [t["content"] for t in content.get("added_tokens") or []]
+        ranks = byte_level_ranks(content)
+        self.fast = tiktoken.Encoding("file", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}) if ranks else None
+        self._tokenizer = None  # takes far more memory; most texts need it only if there is no ``fast``
+
+    @property
+    def tokenizer(self):
+        if self._tokenizer is None:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+            from tokenizers import Tokenizer
+            self._tokenizer = Tokenizer.from_str(self.spec)
+        return self._tokenizer
 
     @classmethod
     def of(cls, spec: str) -> "Encoder":
@@ -94,38 +103,14 @@ class Encoder:
             _ENCODERS[spec] = cls(spec)
         return _ENCODERS[spec]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes | None:
-        """Ids of a piece with a space before it; None if it starts or ends with white space, which spans borders."""
-        if piece.isalpha():
-            return self._token(" " + piece)
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            return None
-        if not piece.replace("\n", "").isprintable():
-            return self._whole(" " + piece)
-        first, *others = self.pattern.findall(" " + piece)
-        ids = self.memo[first[1:]] if first[1:].isalpha() else self._token(first)
-        return ids + b"".join(map(self.inner.__getitem__, others))
-
-    def _token(self, word: str) -> bytes:
-        """Ids of what the tokenizer treats as one word."""
-        word = word.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            try:
-                return self._whole(first) + b"".join(map(self.memo.__getitem__, rest))
-            except TypeError:  # a None among them
-                pass
-        return b"".join(map(self._whole, _SPLIT.split(text)))
+        if self.fast is None or any(s in text for s in self.special):
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, dtype="<u4").tobytes()
 
 
 def cut_points(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -143,24 +128,18 @@ def token_pieces(docs: DataFrame, spec: str, doc_id: str = "doc_id", text: str =
 
     def cut(batches):
         encoder = Encoder.of(spec)
-        for batch in batches:
-            keys, texts, at = batch.column(0), batch.column(1).to_pylist(), 0
-            while at < len(texts):
-                upto, chars = at, 0
-                while upto < len(texts) and (chars < GROUP_CHARS or upto == at):
-                    chars += len(texts[upto] or "")
-                    upto += 1
-                row, piece, start, length, ids = [], [], [], [], []
-                for i in range(at, upto):
-                    b = encoder.encode(texts[i]) + tail
-                    for k, (s, n) in enumerate(cut_points(len(b) // 4, capacity)):
-                        row.append(i), piece.append(k), start.append(s), length.append(n)
-                        ids.append(b[4 * s:4 * (s + n)])
-                yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
-                     pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "ids"])
-                at = upto
+        for batch in (x for b in batches for x in text_slices(b, 1)):
+            row, piece, start, length, ids = [], [], [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                b = encoder.encode(text) + tail
+                for k, (s, n) in enumerate(cut_points(len(b) // 4, capacity)):
+                    row.append(i), piece.append(k), start.append(s), length.append(n)
+                    ids.append(b[4 * s:4 * (s + n)])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
+                names=["doc_id", "piece", "start", "length", "ids"])
+        release_memory()
 
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("piece", T.IntegerType()),
                            T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -202,6 +181,7 @@ def sum_of_squares(sizes, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndar
 def _placer(k: int, capacity: int):
     """Packs one shard of round ``k``."""
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # here, as it takes memory in the workers of all other stages
         pdf = pdf.sort_values(["length", "__row"], ascending=[False, True])
         where, offset, fill = sum_of_squares(pdf["length"].to_numpy(), capacity)
         base = (k << 60) + (int(pdf["shard"].iloc[0]) << 24)

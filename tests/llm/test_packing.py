@@ -1,4 +1,5 @@
 import bisect
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -21,17 +22,39 @@ def naive(text):
     return t.encode(text or "", add_special_tokens=False).ids + [0]
 
 
-def test_ids_equal_the_tokenizers(monkeypatch):
+def test_ids_equal_the_tokenizers():
     encoder = P.Encoder(P.read_spec(PATH))
     rng = random.Random(3)
     parts = ["a", "The", " ", "  ", "\n", "\t", "é", "1", "'s", ".", " ", " ", "\x1f", "😀", "zz", "ö", "&&&", "\u00a0", "\u200b", "²", "ǅ", "म", "ि", "\x00", "'", "ll"]
     texts = TEXTS + ["".join(rng.choices(parts, k=rng.randint(1, 25))) for _ in range(6000)]
-    monkeypatch.setattr(P, "MEMO_PIECES", 500)
-    for _ in range(2):  # the second time from the memo
-        got = [encoder.encode(x) for x in texts]
-        t = Tokenizer.from_file(PATH)
-        for text, ids, want in zip(texts, got, t.encode_batch([x or "" for x in texts], add_special_tokens=False)):
-            assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+    assert encoder.fast is not None
+    got = [encoder.encode(x) for x in texts]
+    t = Tokenizer.from_file(PATH)
+    for text, ids, want in zip(texts, got, t.encode_batch([x or "" for x in texts], add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+
+
+def test_very_long_runs():
+    encoder, t = P.Encoder(P.read_spec(PATH)), Tokenizer.from_file(PATH)
+    for part in ("a", " ", "\n", "!?", "12", "漢"):
+        text = part * 150_000
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_any_other_file_goes_through_the_tokenizers_library():
+    """Files that are no plain byte-level vocabulary are told apart: another kind, a prefix space, a normalizer, ranks out of order."""
+    other = P.Encoder(P.read_spec(public_tokenizers.path("word_bpe_49k.json")))
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.fast is None
+    for text in TEXTS[1:]:
+        assert np.frombuffer(other.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    plain = json.loads(P.read_spec(PATH))
+    assert P.byte_level_ranks(plain)
+    merges = plain["model"]["merges"]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**plain["pre_tokenizer"], "add_prefix_space": True}},
+                   {"pre_tokenizer": None}, {"model": {**plain["model"], "merges": merges[::-1]}},
+                   {"model": {**plain["model"], "merges": merges[1:]}}, {"model": {**plain["model"], "dropout": 0.1}}):
+        assert P.byte_level_ranks(plain | change) is None
 
 
 def test_pieces_cover_documents_and_sequences_are_gapless(spark):
