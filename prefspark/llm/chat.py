@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prefspark.llm.common import states_before
+
 # The template's markers.
 HEAD, MID, TAIL = "<|im_start|>", "\n", "<|im_end|>\n"
 TRAINED_ROLE = "assistant"
@@ -42,18 +44,14 @@ def _side(turns: Column) -> Column:
 
 def _mask(turns: Column) -> Column:
     """Trained spans in ``_side(turns)``."""
-    none = F.expr("cast(array() as array<string>)")
-
-    def step(acc, t):
-        n = F.length(rendered(t))
-        start = acc["pos"] + len(HEAD) + F.length(F.coalesce(t["role"], F.lit(""))) + len(MID)
-        end = acc["pos"] + n - 1  # without the line end after the marker
-        span = F.array(F.concat_ws(":", start, end))
-        return F.struct((acc["pos"] + n).alias("pos"),
-                        F.when(t["role"] == TRAINED_ROLE, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(turns, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step,
-                       lambda acc: F.array_join(acc["spans"], ","))
+    starts = states_before(turns, lambda t: F.length(rendered(t)), lambda a, n: a + n)
+
+    def span(t, at):
+        start = at + len(HEAD) + F.length(F.coalesce(t["role"], F.lit(""))) + len(MID)
+        end = at + F.length(rendered(t)) - 1  # without the line end after the marker
+        return F.when(t["role"] == TRAINED_ROLE, F.concat_ws(":", start, end))
+
+    return F.array_join(F.zip_with(turns, starts, span), ",")  # nulls are left out
 
 
 def format_preferences(turns: DataFrame) -> DataFrame:

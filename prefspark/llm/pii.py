@@ -20,7 +20,9 @@ forms, but in linear time and without recursion on very long runs.
 Defined cases: a null text counts as empty and stays null when redacted; spans
 of different kinds may overlap and are all reported (redaction merges them);
 an empty table gives an empty table.  Input columns named like an output
-column are replaced.
+column are replaced.  A very long text takes time in proportion to its length
+and its number of matches (redaction reads it once more for every ``GROUP``
+spans).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import without
+from prefspark.llm.common import bound, in_groups, states_before, without
 
 # Patterns, in the order in which kinds are listed.
 PATTERNS = {
@@ -61,6 +63,7 @@ WORDS = {
 }
 WORDS |= {"run_card": WORDS["card"], "run_phone": WORDS["phone"]}
 KEEP, CONTEXT, BEFORE, AFTER = 0.6, 0.3, 40, 20
+CHUNK = 4_096  # code points
 OUT = ("pii",)
 
 
@@ -76,17 +79,16 @@ def _find(text: Column, kind: str) -> Column:
 def _places(text: Column, found: Column, kind: str) -> Column:
     """array<struct<start,end,value>> of matches (code points, end exclusive)."""
     gaps = F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found))
-    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("long"), m.alias("value")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
-    def step(acc, x):
-        start = acc["pos"] + x["gap"]
-        end = start + F.length(x["value"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("pos"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(x, before):
+        return F.struct((before + x["gap"]).alias("start"), (before + x["gap"] + x["long"]).alias("end"), x["value"].alias("value"))
 
-    placed = F.aggregate(parts, F.struct(F.lit(0).alias("pos"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.size(found) > 0, placed).otherwise(none)
+    def placed(all_parts):
+        return F.zip_with(all_parts, states_before(all_parts, lambda x: x["gap"] + x["long"], lambda a, n: a + n), span)
+
+    return F.when(F.size(found) > 0, bound(parts, placed)).otherwise(none)
 
 
 def _digits(value: Column) -> Column:
@@ -138,12 +140,24 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _scored(text: Column, spans: Column, kind: str) -> Column:
+def _chunks(text: Column) -> Column:
+    """A text as chunks of ``CHUNK`` code points, so that looking around a span does not read the text from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _from_chunks(chunks: Column, first: Column, long: Column) -> Column:
+    """``long`` (up to CHUNK) code points from place ``first`` on."""
+    k = F.floor(first / CHUNK).cast("int")
+    two = F.concat(F.coalesce(F.get(chunks, k), F.lit("")), F.coalesce(F.get(chunks, k + 1), F.lit("")))
+    return F.substring(two, first - k * CHUNK + 1, long)
+
+
+def _scored(chunks: Column, spans: Column, kind: str) -> Column:
     """The valid spans of a kind with their scores; those below KEEP go, except of the base kinds."""
     def score(s):
         first = F.greatest(s["start"] - BEFORE, F.lit(0))
-        around = F.concat(F.substring(text, first + 1, s["start"] - first), F.lit(" "),
-                          F.substring(text, s["end"] + 1, F.lit(AFTER)))
+        around = F.concat(_from_chunks(chunks, first, s["start"] - first), F.lit(" "),
+                          _from_chunks(chunks, s["end"], F.lit(AFTER)))
         near = F.lower(around).rlike(rf"(?<![a-z0-9_])(?:{WORDS[kind]})(?![a-z0-9_])")
         return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                         s["value"].alias("value"),
@@ -160,7 +174,8 @@ def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns({f"__f_{k}": _find(t, k) for k in INSIDE})
     out = out.withColumns({f"__p_{k}": _places(t, F.coalesce(F.col(f"__f_{k}"), F.expr("cast(array() as array<string>)")),
                                                k) for k in PATTERNS})
-    each = [_scored(t, F.col(f"__p_{'card' if k == 'short_card' else k}"), k) for k in KINDS]
+    out = out.withColumn("__chunks", _chunks(t))
+    each = [_scored(F.col("__chunks"), F.col(f"__p_{'card' if k == 'short_card' else k}"), k) for k in KINDS]
     return out.withColumn("pii", F.concat(*each)).select(*[F.col(f"`{c}`") for c in docs.columns], "pii")
 
 
@@ -177,18 +192,25 @@ def label(kind: Column) -> Column:
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; overlapping spans are replaced together."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"])))
-    none = F.expr("cast(array() as array<string>)")
-
-    def step(acc, s):
-        plain = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        more = F.concat(acc["parts"], F.array(plain, F.concat(F.lit("["), label(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
-                        F.when(s["start"] >= acc["pos"], more).otherwise(acc["parts"]).alias("parts"))
-
-    done = F.aggregate(
-        order, F.struct(F.lit(0).alias("pos"), none.alias("parts")), step,
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    # up to where the text has been handled before each span; the groups of spans each have a piece of the text
+    def items(spans_in_order):
+        done = states_before(spans_in_order, lambda s: s["end"], lambda a, end: F.greatest(a, end))
+        return F.zip_with(spans_in_order, done, lambda s, at: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), at.alias("at")))
+
+    last = F.aggregate(spans, F.lit(0), lambda a, s: F.greatest(a, s["end"]))
+
+    def group(g):
+        first = F.element_at(g, 1)["at"]
+        upto = F.aggregate(g, F.lit(0), lambda a, s: F.greatest(a, s["at"], s["end"]))
+        return bound(F.struct(first.alias("first"), F.substring(text, first + 1, upto - first).alias("text")),
+                     lambda piece: F.array_join(F.transform(
+                         F.filter(g, lambda s: s["start"] >= s["at"]),
+                         lambda s: F.concat(F.substring(piece["text"], s["at"] - piece["first"] + 1, s["start"] - s["at"]),
+                                            F.lit("["), label(s["kind"]), F.lit("]"))), ""))
+
+    whole = F.concat(F.array_join(F.transform(in_groups(bound(order, items)), group), ""), F.substring(text, last + 1, F.length(text)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
