@@ -41,23 +41,26 @@ empty table.  Only the id and text columns are used.
 from __future__ import annotations
 
 from itertools import combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from prefspark.llm.common import small_or_not
+from prefspark.llm.common import release_memory, small_or_not, text_slices
 from prefspark.llm.graph import components
 from prefspark.session import materialize
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 WORDS, PERCENT = 4, 85
 FREQUENT, VERY_FREQUENT = 32, 1_000  # nodes with a token, beyond which two, three tokens are combined
 BUCKET_TOKENS, BLOCK = 20, 256
-MEMO_WORDS, MEMO_BYTES, COLUMNS = 400_000, 48, 4_096
+MEMO_WORDS, MEMO_BYTES, COLUMNS = 200_000, 48, 4_096
 _HASHES: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -116,7 +119,7 @@ def lone(n: int, percent: int) -> bool:
 def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """id, n, key (128-bit hash of the set) and the screen's prefix of every row."""
     def build(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in text_slices(b, 1)):
             n, keys, prefixes = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, words)
@@ -127,6 +130,8 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), _lists(prefixes)],
                 names=["id", "n", "key", "prefix"])
+        _HASHES.clear()
+        release_memory()
 
     schema = T.StructType([docs.schema["id"], T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()),
                            T.StructField("prefix", T.ArrayType(T.LongType()))])
@@ -163,14 +168,21 @@ def _whole_sets(docs: DataFrame, kept: DataFrame, words: int) -> DataFrame:
     found = docs.join(side, F.col("id").eqNullSafe(F.col("kept_id"))).select("node", "n", "key", "text")
 
     def build(batches):
-        for batch in batches:
+        for batch in (x for b in batches for x in text_slices(b, 3)):
             rows = [(i, s) for i, (text, key) in enumerate(zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()))
                     for s in [shingle_set(text, words)] if xxhash.xxh3_128_digest(s.tobytes()) == key]
             at = pa.array([i for i, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), _lists([s for _, s in rows])],
                                              names=["node", "n", "tokens"])
+        _HASHES.clear()
+        release_memory()
 
-    return found.mapInArrow(build, "node long, n long, tokens array<long>").dropDuplicates(["node"])
+    sets = found.mapInArrow(build, "node long, n long, tokens array<long>")
+    sets = materialize(sets.withColumn("place", F.monotonically_increasing_id()), "whole-sets")
+    # rows with equal ids and texts give a node more than once: the others go by their place, and no set is moved
+    first = sets.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("c")).where("c > 1")
+    more = materialize(sets.select("node", "place").join(first, "node").where("place <> first").select("place"), "more-sets")
+    return sets.join(small_or_not(more), "place", "left_anti").drop("place")
 
 
 def node_signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int = PERCENT,
@@ -277,6 +289,7 @@ def common_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
 
 def _block_links(percent: int):
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd  # here, as it takes memory in the workers of all other stages
         first, second = pdf[pdf["first"]], pdf[pdf["second"]]
         common = common_tokens(first["tokens"].tolist(), second["tokens"].tolist())
         n = first["n"].to_numpy()[:, None] + second["n"].to_numpy()[None, :]
@@ -342,7 +355,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = nodes.where("n > 0").select(F.col("row").alias("copy"), "key").join(classes.select("key", "node"), "key")
     copies = materialize(copies.where("copy <> node").select(F.col("copy").alias("node")), "copies")
     kept = materialize(_screened(nodes.withColumnRenamed("row", "node"), copies, percent), "screened")
-    sets = materialize(_whole_sets(docs, kept, words), "whole-sets")
+    sets = _whole_sets(docs, kept, words)
     sigs = materialize(_signatures(sets, percent), "signatures")
     family = materialize(_families(sigs), "family")
     edges = materialize(_with_head(family, sets, percent), "head-links")

@@ -178,7 +178,8 @@ pr as (
     count(*) k, sum(host_docs) n from ho),
 we as (select mean, least(10000, greatest(1, mean * (1 - mean)
          / greatest(between_ - mean * (1 - mean) * k / n, 1e-9) - 1)) wt from pr),
-ve as (select ho.*, (host_failed + mean * wt) / (host_docs + wt) <= 0.75 host_kept from ho, we)
+ve as (select ho.*, (host_failed + mean * wt) / (host_docs + wt)
+         <= least(0.75, greatest(0.5, mean + 3.0 * sqrt(mean * (1 - mean) / (wt + 1)))) host_kept from ho, we)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and host_kept as kept, ru.source as source, host_docs, host_failed
 from ru join ve on ru.source is not distinct from ve.source

@@ -45,6 +45,19 @@ def test_hosts_are_judged_and_their_documents_follow(spark):
     assert kept.columns == df.columns and kept.count() == 203 and {r["kept"] for r in kept.collect()} == {"k"}
 
 
+def test_a_planted_bad_host_goes_and_sound_ones_stay(spark):
+    """20 hosts fail at 13 to 21 % by chance; one more at 70 %: it is rejected with its sound documents, no other is."""
+    rng = random.Random(4)
+    rows = [(k * 1000 + i, "short" if rng.random() < 0.13 + 0.004 * k else good(i), f"h{k}", "", "") for k in range(20) for i in range(150)]
+    rows += [(90_000 + i, "short" if i % 10 < 7 else good(i), "bad", "", "") for i in range(150)]
+    out = quality.quality_rules(spark.createDataFrame(rows, SCHEMA), carry_text=False)
+    assert "text" not in out.columns
+    got = out.collect()
+    assert {r["source"] for r in got if not r["host_kept"]} == {"bad"}
+    assert all(r["kept"] == (not r["base_failed"]) for r in got if r["source"] != "bad")
+    assert sum(not r["kept"] and not r["base_failed"] for r in got) == 45
+
+
 def test_prior_and_empty_table(spark):
     hosts = spark.createDataFrame([("a", 100, 10), ("b", 100, 12), ("c", 50, 4)], "__host string, host_docs long, host_failed long")
     alpha, beta = quality.beta_prior(hosts)
