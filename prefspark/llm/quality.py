@@ -130,10 +130,14 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", lea
                   carry_text: bool = True) -> DataFrame:
     """``docs`` with counts, rule results, its host's figures and ``kept``; without the text if it is not to be carried.
 
-    The counted rows are written once: host sums and result read them, and the texts go through Python once.
+    Without the texts the counted rows are written once and read by both the
+    host sums and the result.  Texts that are carried are not written for that:
+    they are counted again on their way into the result.
     """
-    checked = materialize(document_rules(docs, text, carry_text), "rules")
-    verdicts = small_or_not(host_verdicts(checked, host, least_limit))
+    checked = document_rules(docs, text, carry_text)
+    narrow = materialize(checked.select(F.col(f"`{host}`"), "rule_failed") if carry_text else checked, "rules")
+    checked = checked if carry_text else narrow
+    verdicts = small_or_not(host_verdicts(narrow, host, least_limit))
     out = checked.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("host_kept"))
 
