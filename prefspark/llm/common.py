@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -57,8 +58,11 @@ def text_slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) ->
 
 
 def release_memory() -> None:
-    """At the end of a task: what Arrow keeps for reuse goes back, as workers live on in stages that do not need it."""
+    """At the end of a task: what Arrow and the C library keep for reuse goes back, as workers live on in stages that do not need it."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

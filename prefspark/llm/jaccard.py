@@ -61,6 +61,7 @@ WORDS, PERCENT = 4, 85
 FREQUENT, VERY_FREQUENT = 32, 1_000  # nodes with a token, beyond which two, three tokens are combined
 BUCKET_TOKENS, BLOCK = 20, 256
 MEMO_WORDS, MEMO_BYTES, COLUMNS = 200_000, 48, 4_096
+SIGNATURES = 250_000  # that a task holds at a time
 _HASHES: dict[bytes, int] = {}
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -217,6 +218,10 @@ def node_signatures(n: int, tokens: np.ndarray, counts: np.ndarray, percent: int
     return np.unique(np.concatenate(out)).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
+def signature_rows(*columns: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], names=["sig", "node", "centrality"])
+
+
 def _signatures(sets: DataFrame, percent: int) -> DataFrame:
     """sig, node, centrality (mean frequency of the node's tokens)."""
     tokens = sets.select("node", "n", F.explode("tokens").alias("token"))
@@ -227,15 +232,19 @@ def _signatures(sets: DataFrame, percent: int) -> DataFrame:
 
     def build(batches):
         for batch in batches:
-            sigs, nodes, central = [], [], []
+            sigs, nodes, central, made = [], [], [], 0
             for node, n, own, c in zip(*[batch.column(k).to_pylist() if k < 2 else batch.column(k) for k in range(4)]):
                 c = c.values.to_numpy()
                 sigs.append(node_signatures(n, own.values.to_numpy(), c, percent))
                 nodes.append(np.full(len(sigs[-1]), node))
                 central.append(np.full(len(sigs[-1]), (c.sum() + n - len(c)) / n))
+                made += len(sigs[-1])
+                if made >= SIGNATURES:
+                    yield signature_rows(sigs, nodes, central)
+                    sigs, nodes, central, made = [], [], [], 0
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, nodes, central)],
-                                                 names=["sig", "node", "centrality"])
+                yield signature_rows(sigs, nodes, central)
+        release_memory()
 
     return shared.mapInArrow(build, "sig long, node long, centrality double")
 
