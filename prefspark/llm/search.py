@@ -18,23 +18,29 @@ or hold a null or non-finite component, take no part; shorter vectors count as
 padded with zeros; empty vectors have score 0 with every row.  A row is not
 its own candidate, but a row that repeats it is.  Ties go to the smaller id,
 null last; fewer candidates than k are all returned.  Scores beyond 64 bits
-are cut to the ends of that range.  Pivots are chosen among
-``PIVOT_SAMPLE`` rows (smallest hashes), each farthest from those before.
+are cut to the ends of that range.  Bounds of very large vectors are computed
+on vectors divided by a power of two, so that no square overflows.  Other
+columns take no part.  Pivots are chosen among ``PIVOT_SAMPLE`` rows (smallest
+hashes), each farthest from those before.
 """
 
 from __future__ import annotations
 
+from math import frexp
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prefspark.llm.common import small_or_not
 from prefspark.session import materialize
 
 PIVOTS, PIVOT_SAMPLE = 32, 1_000
 ROW_BLOCK, QUERY_BLOCK = 8_192, 1_024
 SCALE = 256
+LARGEST = 400  # power of two that components stay below where squares are taken
+BROADCAST_BYTES = 64 << 20  # of query blocks
+LOWEST, HIGHEST = -2 ** 63, 2 ** 63 - 1
 BLOCK = "block int, n int, uids binary, ids binary, matrix binary, dist binary"
 HIT = "quid long, query_id long, uid long, vec_id long, score long"
 EXACT = 2.0 ** 52
@@ -42,11 +48,28 @@ NULL_ID = 2 ** 63 - 1  # stands for a null id inside blocks, so that it sorts la
 
 
 def quantised(vectors, dim: int) -> np.ndarray:
-    """Rows of floor(SCALE * x) as doubles (whole numbers), padded with zeros to ``dim``."""
+    """Rows of floor(SCALE * x) / SCALE, which never overflows, padded with zeros to ``dim``."""
     out = np.zeros((len(vectors), dim))
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
-    return np.floor(SCALE * out)
+    small = np.abs(out) < EXACT  # the others are whole numbers already
+    out[small] = np.floor(SCALE * out[small]) / SCALE
+    return out
+
+
+def whole(y: float) -> int:
+    """SCALE * y of a quantised component."""
+    return int(y * SCALE) if abs(y) < EXACT else int(y) * SCALE
+
+
+def shrink(largest: float) -> float:
+    """The power of two that brings components of up to ``largest`` below 2 ** LARGEST; 1 for all usual vectors."""
+    return 2.0 ** min(0, LARGEST - frexp(largest)[1])
+
+
+def scaled(score: int, unit: float) -> float:
+    """A score on the scale of the bounds; one that was cut at the low end excludes nothing."""
+    return -np.inf if score == LOWEST else float(score) / SCALE ** 2 * unit * unit
 
 
 def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -67,31 +90,37 @@ def choose_pivots(rows: np.ndarray, count: int) -> np.ndarray:
 
 def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Integer inner products: in doubles while they are exact there, else in Python's whole numbers."""
-    if np.abs(rows).max(initial=0) * np.abs(query).sum() < EXACT:
-        return (rows @ query).astype(np.int64)
-    big = [sum(int(a) * int(b) for a, b in zip(r, query)) for r in rows]
-    return np.array([min(max(s, -2 ** 63), 2 ** 63 - 1) for s in big], dtype=np.int64)
+    with np.errstate(over="ignore", invalid="ignore"):
+        exact = np.abs(rows).max(initial=0) * np.abs(query).sum() * SCALE ** 2 < EXACT
+    if exact:
+        return (rows @ query * SCALE ** 2).astype(np.int64)
+    q = [whole(b) for b in query]
+    big = [sum(whole(a) * b for a, b in zip(r, q)) for r in rows]
+    return np.array([min(max(s, LOWEST), HIGHEST) for s in big], dtype=np.int64)
 
 
 def top(order_ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k best scores, ties to the smaller id (null ids come as the largest)."""
-    return np.lexsort((order_ids, -scores.astype(object) if scores.size and scores.min() == -2 ** 63 else -scores))[:k]
+    return np.lexsort((order_ids, -scores.astype(object) if scores.size and scores.min() == LOWEST else -scores))[:k]
 
 
 def search_block(q: np.ndarray, q_uid: int, q_dist: np.ndarray, x: np.ndarray, x_uid: np.ndarray, x_id: np.ndarray,
-                 x_dist: np.ndarray, x_sq: np.ndarray, k: int, floor_score: float) -> tuple[np.ndarray, np.ndarray]:
-    """(indices, scores) of the k best rows of a block for one query that can reach ``floor_score``."""
-    q_sq = float(q @ q)
+                 x_dist: np.ndarray, x_sq: np.ndarray, k: int, floor_score: int, unit: float) -> tuple[np.ndarray, np.ndarray]:
+    """(indices, scores) of the k best rows of a block for one query that can reach ``floor_score``.
+
+    Distances and ``x_sq`` are those of vectors multiplied by ``unit``.
+    """
+    q_sq = float((q * unit) @ (q * unit))
     bound = np.zeros(len(x))
     for p in range(x_dist.shape[1]):
         np.maximum(bound, np.abs(x_dist[:, p] - q_dist[p]), out=bound)
     least = np.maximum(bound - 1e-7 * (np.sqrt(q_sq) + np.sqrt(x_sq) + x_dist.max(axis=1, initial=0)), 0)
     upper = (q_sq + x_sq - least * least) / 2 + 1e-9 * (q_sq + x_sq) + 1e-6
-    open_ = np.flatnonzero((upper >= floor_score) & (x_uid != q_uid))
+    open_ = np.flatnonzero((upper >= scaled(floor_score, unit)) & (x_uid != q_uid))
     order = open_[np.argsort(-upper[open_], kind="stable")]
     best, scores, done, step = order[:0], np.zeros(0, dtype=np.int64), 0, 64
     while done < len(order):
-        if len(scores) == k and upper[order[done]] < scores[-1]:
+        if len(scores) == k and upper[order[done]] < scaled(int(scores[-1]), unit):
             break  # exact stop: no later bound is higher
         part = order[done:done + step]
         best, scores = np.concatenate([best, part]), np.concatenate([scores, exact_scores(x[part], q)])
@@ -100,7 +129,7 @@ def search_block(q: np.ndarray, q_uid: int, q_dist: np.ndarray, x: np.ndarray, x
     return best, scores
 
 
-def _blocks(df: DataFrame, size: int, rows: int, dim: int, pivots: np.ndarray) -> DataFrame:
+def _blocks(df: DataFrame, size: int, rows: int, dim: int, pivots: np.ndarray, unit: float) -> DataFrame:
     """One row per block of about ``size`` vectors: ids, quantised vectors and their pivot distances."""
     count = max(1, -(-rows // size))
 
@@ -109,7 +138,7 @@ def _blocks(df: DataFrame, size: int, rows: int, dim: int, pivots: np.ndarray) -
         ids = pdf["vec_id"].to_numpy(np.int64)
         return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "n": [len(pdf)],
                              "uids": [pdf["uid"].to_numpy(np.int64).tobytes()], "ids": [ids.tobytes()],
-                             "matrix": [m.tobytes()], "dist": [distances(m, pivots).tobytes()]})
+                             "matrix": [m.tobytes()], "dist": [distances(m * unit, pivots * unit).tobytes()]})
 
     keyed = df.withColumn("vec_id", F.coalesce("vec_id", F.lit(NULL_ID))).withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(count)).cast("int"))
     return keyed.groupBy("block").applyInPandas(pack, BLOCK)
@@ -124,17 +153,21 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vect
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec"))
     rows = materialize(rows.where(finite).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     asked = rows.where(is_query(F.col("vec_id")))
-    n, dim = rows.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    longest, largest = F.max(F.size("vec")), F.max(F.array_max(F.transform("vec", lambda c: F.abs(c))))
+    n, dim, largest = rows.agg(F.count("*"), F.coalesce(longest, F.lit(0)), F.coalesce(largest, F.lit(0.0))).first()
+    unit = shrink(largest)
     nq = asked.count()
     sample = rows.orderBy(F.xxhash64("uid"), "uid").limit(PIVOT_SAMPLE).collect()  # bounded by PIVOT_SAMPLE
     sampled = quantised([r["vec"] for r in sample], dim)
-    chosen = choose_pivots(sampled, pivots)
+    chosen = choose_pivots(sampled * unit, pivots)
     pivot_rows = sampled[chosen]
     pivot_uids = np.array([sample[i]["uid"] for i in chosen], dtype=np.int64)
 
-    data = _blocks(rows, ROW_BLOCK, n, dim, pivot_rows)
-    ask = materialize(_blocks(asked, QUERY_BLOCK, nq, dim, pivot_rows), "query-blocks")
-    ask = small_or_not(ask.select(*[F.col(c).alias(f"q_{c}") for c in ask.columns]), 64)
+    data = _blocks(rows, ROW_BLOCK, n, dim, pivot_rows, unit)
+    ask = materialize(_blocks(asked, QUERY_BLOCK, nq, dim, pivot_rows, unit), "query-blocks")
+    ask = ask.select(*[F.col(c).alias(f"q_{c}") for c in ask.columns])
+    if nq * 8 * (dim + max(1, len(pivot_rows)) + 2) <= BROADCAST_BYTES:
+        ask = F.broadcast(ask)
     pairs = data.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(max(1, -(-nq // QUERY_BLOCK)) - 1)))).join(
         ask, "q_block")
 
@@ -148,11 +181,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vect
                 q, q_dist = table("q_matrix", dim) if dim else np.zeros((r.q_n, 0)), table("q_dist", max(1, len(pivot_rows)))
                 ids = [np.frombuffer(b, dtype=np.int64) for b in (r.uids, r.ids, r.q_uids, r.q_ids)]
                 x_uid, x_id, q_uid, q_id = ids
-                x_sq, out = (x * x).sum(axis=1), []
+                x_sq, out = ((x * unit) ** 2).sum(axis=1), []
                 for i in range(len(q)):
                     others = exact_scores(pivot_rows[pivot_uids != q_uid[i]], q[i])
-                    least = float(np.sort(others)[-k]) if len(others) >= k else -np.inf
-                    at, score = search_block(q[i], q_uid[i], q_dist[i], x, x_uid, x_id, x_dist, x_sq, k, least)
+                    least = int(np.sort(others)[-k]) if len(others) >= k else LOWEST
+                    at, score = search_block(q[i], q_uid[i], q_dist[i], x, x_uid, x_id, x_dist, x_sq, k, least, unit)
                     out.append(pd.DataFrame({"quid": q_uid[i], "query_id": q_id[i], "uid": x_uid[at],
                                              "vec_id": x_id[at], "score": score}))
                 yield pd.concat(out) if out else pd.DataFrame(columns=["quid", "query_id", "uid", "vec_id", "score"])

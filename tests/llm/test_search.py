@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import pytest
 
@@ -51,3 +52,19 @@ def test_very_large_components_stay_exact(spark):
     f = math.floor
     assert (0, 2, 2, f(256 * 3e8) * f(256 * 2e5) + 256 * 512) in got
     assert (0, 1, 3, 2 ** 63 - 1) in got
+
+
+def test_largest_doubles_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 1.0]) * 1e160, float(i)]) for i in range(10)]
+    rows += [(10 + i, [rng.choice([-1.7e308, 1e300, 0.5, -0.25]), rng.uniform(-3, 3), 1e150 * i]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in search.top_k(df, lambda c: c % 5 == 0).collect())
+    # scores are cut to 64 bits before they are ranked
+    whole = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    want = []
+    for i, q in whole:
+        if i % 5 == 0:
+            cut = [(max(-2 ** 63, min(2 ** 63 - 1, sum(x * y for x, y in zip(q, v)))), j) for j, v in whole if j != i]
+            want += [(i, r, j, s) for r, (s, j) in enumerate(sorted(cut, key=lambda h: (-h[0], h[1]))[:5], 1)]
+    assert got == sorted(want)
