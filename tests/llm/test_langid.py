@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -28,14 +29,28 @@ def test_automaton_parses_into_longest_matches():
             assert a.phrases(text) == longest_parse(text, sample)
 
 
-def test_memo_does_not_change_counts(monkeypatch):
-    monkeypatch.setattr(langid, "MEMO_WORDS", 3)
-    model = langid.Model((("x", " aa bb ab "), ("y", " cd dd dc ")))
+def test_segments_and_slices_equal_one_parse_of_the_text(monkeypatch):
     rng = random.Random(1)
-    for _ in range(50):
-        words = ["".join(rng.choices("abcd1", k=rng.choice([1, 2, 3, 70]))) for _ in range(rng.randint(0, 6))]
-        want = [sum(a.phrases(" " + w) for w in words if any(map(str.isalpha, w))) for a in model.automata]
-        assert model.phrases(words).tolist() == want
+    samples = tuple((k, langid.plain("".join(rng.choices(c, k=200)))) for k, c in [("x", "ab "), ("y", "abc "), ("z", "cdé")])
+    model = langid.Model(samples)
+    texts = ["".join(rng.choices("abcdéü1 ", k=rng.choice([0, 1, 3, 40, 150]))) for _ in range(60)]
+    texts += [samples[0][1] * 2, samples[1][1][:120], "", "\U0001F600"]
+    for segment in (1, 2, 7, 64, 2048):
+        monkeypatch.setattr(langid, "SEGMENT", segment)
+        assert model.phrases(texts).tolist() == [[longest_parse(t, sample) for _, sample in samples] for t in texts]
+
+
+def test_decision_and_score_by_brute_force(monkeypatch):
+    monkeypatch.setattr(langid, "SLICE_CHARS", 50)
+    samples = (("de", langid.plain("der hund und die katze")), ("en", langid.plain("the dog and the cat")))
+    texts = ["The  DOG\tand", "katze und", "12", None, "", "zzz", "die the"]
+    got = langid.Model(samples).predict(texts)
+    for text, (lang, score) in zip(texts, got):
+        if not text or text == "12":
+            assert (lang, score) == ("und", 0.0)
+            continue
+        bits = [longest_parse(langid.plain(text), s) * math.log2(len(s) + 2) for _, s in samples]
+        assert lang == samples[bits.index(min(bits))][0] and abs(score - (1 - min(bits) / max(bits))) < 1e-12
 
 
 def test_odd_inputs(spark):
