@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from prefspark.llm.common import unit_hash, without
 
 LANG_CHARS, PIECE = 120_000, 2_000
-SEGMENT, SLICE_CHARS = 2_048, 2_000_000
+SEGMENT, SLICE_CHARS = 4_096, 4_000_000
 UNKNOWN = "und"
 LETTER = r"\p{L}"
 OUT = ("lang_pred", "score")
@@ -94,14 +94,17 @@ class Transitions:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         bits = max(4, int(3 * len(keys)).bit_length())  # a sixth to a third full
         self.shift, self.mask = np.uint64(64 - bits), 2 ** bits - 1
-        self.keys, self.values = np.full(2 ** bits, -1, dtype=np.int64), np.zeros(2 ** bits, dtype=np.int32)
-        at = self._place(keys)
-        while len(keys):
-            free = self.keys[at] < 0
-            self.keys[at[free]] = keys[free]
-            here = self.keys[at] == keys
-            self.values[at[here]] = values[here]
-            keys, values, at = keys[~here], values[~here], (at[~here] + 1) & self.mask
+        # an entry is its key and, in the low bits, its value: one read for both
+        self.low = int(values.max(initial=0)).bit_length()
+        if int(keys.max(initial=0)).bit_length() + self.low > 63:
+            raise ValueError("the samples have too many languages or characters for one table")
+        self.entries = np.full(2 ** bits, -1, dtype=np.int64)
+        at, entries = self._place(keys), keys << self.low | values
+        while len(entries):
+            free = self.entries[at] < 0
+            self.entries[at[free]] = entries[free]
+            left = self.entries[at] != entries
+            entries, at = entries[left], (at[left] + 1) & self.mask
 
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
@@ -109,15 +112,19 @@ class Transitions:
     def get(self, keys: np.ndarray) -> np.ndarray:
         """The next states; -1 where there is none."""
         at = self._place(keys)
-        found = self.keys[at]
-        out = np.where(found == keys, self.values[at], np.int32(-1))
-        todo = np.flatnonzero((found != keys) & (found >= 0))
+        found = self.entries.take(at)
+        out = found & (1 << self.low) - 1
+        wrong = (found >> self.low) != keys
+        out[wrong] = -1
+        todo = np.flatnonzero(wrong & (found >= 0))
+        at, keys = at[todo], keys[todo]
         while len(todo):
-            at[todo] = (at[todo] + 1) & self.mask
-            found = self.keys[at[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.values[at[todo[hit]]]
-            todo = todo[~hit & (found >= 0)]
+            at = (at + 1) & self.mask
+            found = self.entries.take(at)
+            hit = (found >> self.low) == keys
+            out[todo[hit]] = found[hit] & (1 << self.low) - 1
+            on = ~hit & (found >= 0)
+            todo, at, keys = todo[on], at[on], keys[on]
         return out
 
 
@@ -131,7 +138,7 @@ class Model:
         self.classes = len(letters) + 1  # 0: in no sample
         self.class_of = np.zeros(0x110000, dtype=np.int32)
         self.class_of[letters] = np.arange(1, self.classes)
-        self.first = np.zeros((self.classes, len(samples)), dtype=np.int32)
+        self.first = np.zeros((self.classes, len(samples)), dtype=np.int64)
         keys, values, base = [], [], 1
         for k, (_, text) in enumerate(samples):
             step = SuffixAutomaton(text).step
@@ -142,7 +149,7 @@ class Model:
                     keys.append((base + state) * self.classes + int(self.class_of[ord(c)]))
                     values.append(base + to)
             base += len(step)
-        self.next = Transitions(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int32))
+        self.next = Transitions(np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64))
 
     @classmethod
     def of(cls, samples: tuple[tuple[str, str], ...]) -> "Model":
@@ -153,7 +160,7 @@ class Model:
 
     def _step(self, state: np.ndarray, letter: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(next state, whether a phrase begins) of parses side by side."""
-        to = self.next.get(state * np.int64(self.classes) + letter)
+        to = self.next.get(state * self.classes + letter)
         begins = to < 0
         to[begins] = self.first[letter[begins], lang[begins]]
         return to, begins
@@ -193,7 +200,7 @@ class Model:
         langs = len(self.langs)
         order = np.argsort(-length, kind="stable")
         begin, active = start[order], np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
-        n, state = np.zeros(len(order) * langs, dtype=np.int64), np.zeros(len(order) * langs, dtype=np.int32)
+        n, state = np.zeros(len(order) * langs, dtype=np.int64), np.zeros(len(order) * langs, dtype=np.int64)
         lang = np.tile(np.arange(langs), len(order))
         for i, a in enumerate(active.tolist()):
             letter, lanes = np.repeat(letters[begin[:a] + i], langs), a * langs
@@ -205,7 +212,7 @@ class Model:
     def _joined(self, letters, start, length, lang, state) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Parses from ``state``: (phrases more than a fresh parse has, end state, whether the two parses meet)."""
         more, last, met = np.zeros(len(start), dtype=np.int64), state.copy(), state == 0
-        open_, i, fresh, mine = np.flatnonzero(~met), 0, np.zeros(int((~met).sum()), dtype=np.int32), state[~met]
+        open_, i, fresh, mine = np.flatnonzero(~met), 0, np.zeros(int((~met).sum()), dtype=np.int64), state[~met]
         while len(open_):
             letter = letters[start[open_] + i]
             mine, begun = self._step(mine, letter, lang[open_])
