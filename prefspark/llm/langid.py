@@ -109,23 +109,24 @@ class Transitions:
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
 
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """The next states; -1 where there is none."""
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, places of the keys that have none: what is there in the values means nothing)."""
         at = self._place(keys)
         found = self.entries.take(at)
         out = found & (1 << self.low) - 1
-        wrong = (found >> self.low) != keys
-        out[wrong] = -1
-        todo = np.flatnonzero(wrong & (found >= 0))
-        at, keys = at[todo], keys[todo]
+        other = np.flatnonzero((found >> self.low) != keys)  # few: most keys stand where they belong
+        full = found.take(other) >= 0
+        none, todo = [other[~full]], other[full]
+        at, keys = at.take(todo), keys.take(todo)
         while len(todo):
             at = (at + 1) & self.mask
             found = self.entries.take(at)
             hit = (found >> self.low) == keys
             out[todo[hit]] = found[hit] & (1 << self.low) - 1
+            none.append(todo[found < 0])
             on = ~hit & (found >= 0)
             todo, at, keys = todo[on], at[on], keys[on]
-        return out
+        return out, np.concatenate(none)
 
 
 class Model:
@@ -159,10 +160,9 @@ class Model:
         return _MODELS[samples]
 
     def _step(self, state: np.ndarray, letter: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(next state, whether a phrase begins) of parses side by side."""
-        to = self.next.get(state * self.classes + letter)
-        begins = to < 0
-        to[begins] = self.first[letter[begins], lang[begins]]
+        """(next state, places where a phrase begins) of parses side by side."""
+        to, begins = self.next.get(state * self.classes + letter)
+        to[begins] = self.first[letter.take(begins), lang.take(begins)]
         return to, begins
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -205,7 +205,7 @@ class Model:
         for i, a in enumerate(active.tolist()):
             letter, lanes = np.repeat(letters[begin[:a] + i], langs), a * langs
             state[:lanes], begins = self._step(state[:lanes], letter, lang[:lanes])
-            n[:lanes] += begins
+            n[begins] += 1
         back = np.argsort(order)
         return n.reshape(-1, langs)[back], state.reshape(-1, langs)[back]
 
@@ -217,7 +217,8 @@ class Model:
             letter = letters[start[open_] + i]
             mine, begun = self._step(mine, letter, lang[open_])
             fresh, begun_fresh = self._step(fresh, letter, lang[open_])
-            more[open_] += begun.astype(np.int64) - begun_fresh
+            more[open_[begun]] += 1
+            more[open_[begun_fresh]] -= 1
             last[open_], met[open_] = mine, mine == fresh
             i += 1
             on = ~met[open_] & (length[open_] > i)
